@@ -1,0 +1,47 @@
+from locusforge.llm import secrets, shared
+from tests.llm import brute
+
+
+def test_base_spans_equal_plain_matching(spark):
+    texts = brute.noisy_texts(1500, 6)
+    texts += texts[:50]
+    got = {r.doc_id: r for r in secrets.secrets_report(brute.docs(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want = brute.secret_spans(text)
+        listed = [f"{k}:{s}:{e}" for k, s, e in want]
+        assert got[i].base_sha256 == brute.sha(listed), (text, want, got[i].spans)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for k, *_ in want) for x in secrets.BASE]
+
+
+def test_ledger_scans_only_unseen_blobs_and_rules(spark):
+    ledger = shared.scratch(spark, "ledger-test")
+    first = brute.docs(spark, ["token=abcdefgh1", "x", "token=abcdefgh1", None])
+    out, _ = secrets.scan_secrets(first, ledger)
+    assert sorted(len(r.secrets) for r in out.collect()) == [0, 0, 1, 1]
+    assert spark.read.parquet(ledger).count() == 3
+    out, _ = secrets.scan_secrets(first.union(brute.docs(spark, ["secret: abcdefgh2", "x"], 10)), ledger)
+    assert {r.doc_id: len(r.secrets) for r in out.collect()} == {0: 1, 1: 0, 2: 1, 3: 0, 10: 1, 11: 0}
+    assert spark.read.parquet(ledger).count() == 4
+    secrets.scan_secrets(first, ledger, rules="2")
+    assert spark.read.parquet(ledger).groupBy("rules").count().orderBy("rules").collect() == [("1", 4), ("2", 3)]
+
+
+def test_other_rules(spark):
+    texts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18, "xoxb-123456789012-abc", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "xoxb-short"]
+    got = [r.spans.split(":")[0] for r in secrets.secrets_report(brute.docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["private_key", "github", "slack", "jwt", ""]
+
+
+def test_both_ways_to_fetch_texts_agree(spark, monkeypatch):
+    d = brute.docs(spark, ["token=abcdefgh1", "y", "y", None, ""])
+    few = sorted(map(tuple, secrets.secrets_report(d).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, secrets.secrets_report(d).collect())) == few
+
+
+def test_null_ids_repeats_and_empty_tables(spark):
+    d = spark.createDataFrame([(None, "password=longenough"), (None, "password=longenough"), (1, "a"), (1, "b")], "doc_id long, text string")
+    rows = secrets.secrets_report(d).collect()
+    assert len(rows) == 4 and sum(r.n_assign for r in rows) == 2
+    assert secrets.secrets_report(d.limit(0)).count() == 0
