@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from . import shared
+from . import pretoken, shared
+from . import textcore as T
 
 MAGIC = b"LFTOK8B1"
 BLOCK_IDS = 1 << 16
@@ -152,44 +152,79 @@ def read_file(source) -> tuple[pa.Table, Iterator[np.ndarray]]:
     return docs, ids()
 
 
-CACHED = 500_000  # pieces in each of two generations
+CACHED = 250_000  # pieces in each of two generations
 _LOADED: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """The tokenizers library with a cache of the pieces that its byte-level splitter makes; a piece's ids don't depend on what is around it."""
+    """The tokenizers library, asked once for each distinct piece that its byte-level splitter makes.
+
+    A piece's ids don't depend on what is around it. Pieces are known by 64-bit hashes; texts that hold a special
+    token's string, and tokenizers with another splitter, go through the library whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) else self.find(t) for t in texts]
-        seen = set().union(*(x for x in split if x))
-        young, old, now, new = self.young, self.old, {}, []
-        for p in seen:
-            if (got := young.get(p)) is None:
-                if (got := old.get(p)) is None:
-                    new.append(p)
-                    continue
-                young[p] = got
-            now[p] = got
-        for p, ids in zip(new, self._whole(new), strict=True):
-            now[p] = young[p] = ids
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = pattern == pretoken.PATTERN
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """Ids of each piece, by one call for all."""
+        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
+        ends = (4 * np.cumsum(count)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids before each text) of UTF-8 texts laid end to end."""
+        raw = data.tobytes()
+        if not self.known or any(s in raw for s in self.special):
+            parts = []
+            for i in range(len(off) - 1):
+                one = raw[off[i] : off[i + 1]]
+                if not self.known or any(s in one for s in self.special):
+                    parts.append(self.whole(one))
+                else:
+                    parts.append(self._plain(data[off[i] : off[i + 1]], np.array([0, len(one)]))[0])
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
+        return self._plain(data, off)
+
+    def _plain(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, before = pretoken.pieces(data, off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        end = np.append(start[1:], len(data))
+        names, first, which = np.unique(T.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        young, old, ids, new = self.young, self.old, [], []
+        for i, h in enumerate(names.tolist()):
+            if (got := young.get(h)) is None and (got := old.get(h)) is not None:
+                young[h] = got
+            if got is None:
+                new.append(i)
+            ids.append(got)
+        if new:
+            texts = [data[start[j] : end[j]].tobytes().decode() for j in first[new].tolist()]
+            for i, h, got in zip(new, names[new].tolist(), self._each(texts), strict=True):
+                ids[i] = young[h] = got
         if len(young) > CACHED:
             self.old, self.young = young, {}
-        get = now.__getitem__
-        return [b"".join(map(get, x)) if x is not None else self._whole([t])[0] for t, x in zip(texts, split, strict=True)]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.cumsum(size) - size
+        count = size[which]
+        total = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
+        out = pool[np.repeat(place[which] - total[:-1], count) + np.arange(total[-1])]
+        return out, total[before]
 
 
 def piece_encoder(path: str, pattern: str) -> PieceEncoder:
@@ -280,7 +315,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0,
     shared.prepare(spark)
     folder = folder or shared.scratch(spark, "tokens")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -288,24 +322,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0,
         writer, ids_of, sizes, encode = None, [], [], piece_encoder(tokenizer, pattern).encode
         out = None
         for batch in batches:
-            for rows, _, _ in shared.steps(batch, "text", 4 << 20):
+            for rows, data, off in shared.steps(batch, "text", 4 << 20):
                 if writer is None:
                     fs, root = shared.local_path(folder)
                     fs.create_dir(root, recursive=True)
                     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok8b"
                     out = fs.open_output_stream(f"{root}/{name}")
                     writer = Writer(out)
-                for x in encode(rows.column("text").to_pylist()):
-                    ids = np.concatenate([np.frombuffer(x, "<u4"), end])
-                    writer.add(ids)
-                    sizes.append(len(ids))
+                ids, before = encode(data, off)
+                writer.add(np.insert(ids, before[1:], end_id))
+                sizes.append(np.diff(before) + 1)
                 ids_of.append(rows.column("doc_id"))
         if writer is not None:
+            sizes = np.concatenate(sizes)
             writer.close(pa.table({"doc_id": pa.chunked_array(ids_of), "n_tokens": pa.array(sizes, pa.int64())}))
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([writer.total], pa.int64())], ["part", "name", "docs", "ids"])
 
-    ordered = docs.selectExpr("doc_id", "coalesce(text, '') as text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select("doc_id", shared.text_bytes()).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows = sorted(map(tuple, ordered.mapInArrow(write, "part long, name string, docs long, ids long").collect()))  # one row a file
     files, before = [], 0
     for _, name, n, ids in rows:
