@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -56,11 +57,14 @@ def commit(spark: SparkSession, staged: str, target: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _hadoop(spark, path)
-    stream = fs.open(p)
     try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-    finally:
-        stream.close()
+        stream = fs.open(p)
+        try:
+            return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+    except Py4JJavaError as e:
+        raise StoreError(f"{path} can't be read") from e
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

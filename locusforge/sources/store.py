@@ -118,6 +118,8 @@ class Store:
 
     def validate(self, full: bool = True) -> dict:
         """Row ids contiguous and unique, order kept, codes in their domains; with `full` also the digests of all files."""
+        if full:
+            files.check_payload(self.spark, self.path, self.manifest)
         table = self.table()
         total = table.agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"), F.count_distinct("variant_code").alias("codes")).first()
         n = total.n
@@ -130,8 +132,6 @@ class Store:
             raise StoreError("blocks overlap")
         if self.profile != "exact" and codec.bad_codes(table, PROFILES[self.profile]).limit(1).count():
             raise StoreError("codes lie out of their domains")
-        if full:
-            files.check_payload(self.spark, self.path, self.manifest)
         return {"valid": True, "n_rows": n}
 
     def build_cache(self) -> DataFrame:
