@@ -3,9 +3,9 @@
 Texts with equal sets are one class. Each tree of the forest orders the classes by its own labels of DEPTH min-hashes;
 neighbours in that order share the longest prefixes. Groups that share BASE_DEPTH values are searched whole where they
 are small; a denser region is searched at the least depth at which it is small, and its neighbours in order are
-candidates besides. Confirmed links of close neighbours are joined into components first, so that the second pass takes
-up only candidates between components, and groups that stay dense at full depth while they hold several components are
-searched whole across these. Two texts of similarity s share a prefix of BASE_DEPTH in some tree with probability
+candidates besides. Links of next neighbours are confirmed and joined into components first; the second pass takes up
+candidates between components among near neighbours, and the last all others between components, for which groups
+that stay dense at full depth are searched whole. Two texts of similarity s share a prefix of BASE_DEPTH in some tree with probability
 1 - (1 - s^3)^TREES: all but 2 in 100,000 at 0.75.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; with fewer than five words the
@@ -31,8 +31,10 @@ TREES = 20
 DEPTH = 8
 BASE_DEPTH = 3
 SMALL = 48  # a group of so many is searched whole
-NEAR = 2  # neighbours in order that a row of a dense region is held against besides
-FIRST_TREES = 6  # whose next neighbours are confirmed first
+NEAR = 4  # neighbours in order that a row of a dense region is held against besides
+FAR = 24  # the same, once most of a dense region is joined
+LIST = 4096  # nodes that one row of candidates lists, about
+HOUSE = 64  # texts that ask at one place
 _R = np.random.default_rng(77)
 _A = (_R.integers(0, 1 << 31, TREES * DEPTH, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _R.integers(0, 1 << 32, TREES * DEPTH, dtype=np.int64).astype(np.uint32)
@@ -86,16 +88,17 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_bytes()).mapInArrow(run, "doc_id long, n_shingles long, da long, db long, label binary")
 
 
-def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, rank) pairs of rows in order of (tree, label): rank 0 for next neighbours in the first trees, 1 for others.
+def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int, near: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that are in order of (tree, label).
 
-    group: components of the rows; then only pairs across components come back, also those within dense leaves.
+    Without group: next neighbours. group: components of the rows; then all pairs across components in groups that are
+    small, up to `near` neighbours in dense regions, and with `whole` all of groups that are dense at full depth.
     """
     n = len(node)
     if n < 2:
-        return (np.zeros(0, np.int64),) * 3
-    same = np.cumprod(np.concatenate([np.zeros((1, DEPTH), bool), label[1:] == label[:-1]]) & (np.concatenate([[True], tree[1:] == tree[:-1]]))[:, None], axis=1)
-    common = same.sum(axis=1)  # values shared with the row before
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = np.concatenate([np.zeros((1, DEPTH), bool), label[1:] == label[:-1]]) & np.concatenate([[False], tree[1:] == tree[:-1]])[:, None]
+    common = np.cumprod(same, axis=1).sum(axis=1)  # values shared with the row before
     at = np.arange(n)
     start = np.zeros((DEPTH + 1, n), np.int64)
     small = np.full(n, DEPTH + 1)
@@ -104,31 +107,51 @@ def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.n
         start[d] = np.maximum.accumulate(np.where(new, at, 0))
         number = np.cumsum(new) - 1
         small = np.where(np.bincount(number)[number] <= SMALL, d, small)
-    begin = np.where(small <= DEPTH, start[np.minimum(small, DEPTH), at], at)
-    reach = at - begin
-    if group is not None:
-        reach = np.where(small > DEPTH, at - start[DEPTH], reach)
-    out_u, out_v, out_r = [], [], []
-    o, live = 1, np.flatnonzero((reach >= 1) | (at - start[BASE_DEPTH] >= 1))
+    if group is None:
+        reach, near = np.zeros(n, np.int64), 1
+    else:
+        reach = np.where(small <= DEPTH, at - start[np.minimum(small, DEPTH), at], 0)
+        if whole:
+            reach = np.where(small > DEPTH, at - start[DEPTH], reach)
+    reach = np.maximum(reach, np.minimum(near, at - start[BASE_DEPTH]))
+    out_u, out_v = [], []
+    o, live = 1, np.flatnonzero(reach >= 1)
     while len(live):
         i, j = live, live - o
         ok = (size[i] * percent <= size[j] * 100) & (size[j] * percent <= size[i] * 100) & (node[i] != node[j])
         if group is not None:
             ok &= group[i] != group[j]
-        out_u.append(np.minimum(node[i], node[j])[ok])
-        out_v.append(np.maximum(node[i], node[j])[ok])
-        out_r.append(np.where((o == 1) & (tree[i] < FIRST_TREES), 0, 1)[ok])
+        out_u.append(node[i][ok])
+        out_v.append(node[j][ok])
         o += 1
-        live = live[(reach[live] >= o) | ((o <= NEAR) & (live - start[BASE_DEPTH][live] >= o))]
-    return np.concatenate(out_u), np.concatenate(out_v), np.concatenate(out_r)
-
-
-def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None) -> DataFrame:
-    """Distinct candidate pairs (u, v, rank) of the forest. classes: node, n_shingles, label."""
-    rows = classes.select("node", "n_shingles", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label").select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "node", "n_shingles")
+        live = live[reach[live] >= o]
+    return np.concatenate([np.zeros(0, np.int64), *out_u]), np.concatenate([np.zeros(0, np.int64), *out_v])
+
+
+def lists(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(asking node, part, start of its list, asked nodes): of each pair the node with more partners asks, in parts of some LIST."""
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+    names, which = np.unique(pair, return_inverse=True)
+    count = np.bincount(which.ravel(), minlength=len(names))[which.reshape(pair.shape)]
+    first = count[:, 0] >= count[:, 1]
+    asks, asked = np.where(first, pair[:, 0], pair[:, 1]), np.where(first, pair[:, 1], pair[:, 0])
+    most = np.where(first, count[:, 0], count[:, 1])
+    parts = 1 << np.ceil(np.log2(np.maximum(1, most / LIST))).astype(np.int64)
+    part = (T.mix(asked.astype(T.U)) >> T.U(33)).astype(np.int64) % parts
+    order = np.lexsort((asked, part, asks))
+    asks, asked, part = asks[order], asked[order], part[order]
+    start = np.flatnonzero(np.concatenate([[True], (asks[1:] != asks[:-1]) | (part[1:] != part[:-1])])) if len(asks) else np.zeros(0, np.int64)
+    return asks[start], part[start], np.append(start, len(asks)), asked
+
+
+def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None = None, near: int = NEAR, whole: bool = False) -> DataFrame:
+    """asks, part, asked (array): candidates of the forest. classes: node, n_shingles, label."""
+    rows = classes
     grouped = groups is not None
-    if groups is not None:
+    if grouped:
         rows = rows.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = ["component"] * grouped
+    rows = rows.select("node", "n_shingles", *more, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label").select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "node", "n_shingles", *more)
     ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,57 +161,63 @@ def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None) -> DataFr
         col = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
         raw, _ = shared.buffers(table.column("label"))
         label = raw.view(">u4").reshape(-1, DEPTH).astype(np.uint32)
-        u, v, r = candidates(col("tree"), label, col("node"), col("n_shingles"), col("component") if grouped else None, percent)
-        order = np.lexsort((r, v, u))
-        u, v, r = u[order], v[order], r[order]
-        keep = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]) if len(u) else np.zeros(0, bool)
-        u, v, r = u[keep], v[keep], r[keep]
-        for i in range(0, len(u), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int64()) for x in (u, v, r)], ["u", "v", "rank"])
+        u, v = candidates(col("tree"), label, col("node"), col("n_shingles"), col("component") if grouped else None, percent, near, whole)
+        asks, part, edge, asked = lists(u, v)
+        for i in range(0, len(asks), 5000):
+            j = min(len(asks), i + 5000)
+            items = pa.ListArray.from_arrays(pa.array((edge[i : j + 1] - edge[i]).astype(np.int32)), pa.array(asked[edge[i] : edge[j]]))
+            yield pa.RecordBatch.from_arrays([pa.array(asks[i:j]), pa.array(part[i:j]), items], ["asks", "part", "asked"])
 
-    return ordered.mapInArrow(run, "u long, v long, rank long").groupBy("u", "v").agg(F.min("rank").alias("rank"))
+    found = ordered.mapInArrow(run, "asks long, part long, asked array<bigint>")
+    return shared.materialize(found.groupBy("asks", "part").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")), "asked")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough.
+def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of the candidates whose full sets are similar enough.
 
-    A pair is met at the host of its smaller node: the least neighbour, where that hosts few, else the node itself.
-    Each set travels once to each host that it has pairs at.
+    Those that ask and share their least partner live together, in blocks of some HOUSE and by part of their lists; a set
+    travels to each block where it is asked for, meets the sets held there, and is let go. So a few texts that each have
+    thousands of partners cost each partner a few trips, and a task holds a block at a time.
     """
-    nodes = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).union(pairs.select("v", "u")).groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("host"))
-    sizes = nodes.groupBy("host").agg(F.count("*").alias("n"))
-    hosts = nodes.join(sizes, "host").select("a", F.when(F.col("n") <= 64, F.col("host")).otherwise(F.col("a")).alias("host"))
-    met = shared.materialize(pairs.select("u", "v").join(hosts.withColumnRenamed("a", "u"), "u"), "met")
-    visits = shared.materialize(met.select("host", F.col("u").alias("node")).union(met.select("host", "v")).distinct(), "visits")
-    wanted = visits.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes())
-    few = wanted.count() <= shared.BROADCAST_ROWS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    least = lists.groupBy("asks").agg(F.min(F.array_min("asked")).alias("least"))
+    blocks = least.groupBy("least").agg(F.ceil(F.count("*") / HOUSE).alias("blocks"))
+    housed = least.join(blocks, "least").select("asks", "least", F.pmod(F.xxhash64("asks"), "blocks").alias("block"))
+    homes = shared.materialize(lists.join(housed, "asks").select("asks", "asked", F.xxhash64("least", "block", "part").alias("host")), "homes")
+    trips = homes.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")).select("host", F.explode("asked").alias("node"))
+    routes = shared.materialize(homes.select(F.col("asks").alias("node"), "host", "asked").union(trips.select("node", "host", F.lit(None).cast("array<bigint>"))), "routes")
+    few = routes.count() <= shared.BROADCAST_ROWS
+    wanted = routes.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes()).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array([s.tobytes() for s in shingle_sets(data, off)], pa.binary())], ["node", "shingles"])
 
-    sets = texts.mapInArrow(make, "node long, shingles binary")
-    sent = sets.join(F.broadcast(visits) if few and visits.count() <= shared.BROADCAST_ROWS else visits, "node").select("host", F.lit(0).alias("kind"), F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "shingles")
-    asked = met.select("host", F.lit(1).alias("kind"), "u", "v", F.lit(None).cast("binary").alias("shingles"))
-    together = sent.union(asked).repartition("host").sortWithinPartitions("host", "kind")
+    sent = texts.mapInArrow(make, "node long, shingles binary").join(routes, "node").select("host", F.col("asked").isNull().alias("travels"), "node", "asked", "shingles")
+    together = sent.repartition("host").sortWithinPartitions("host", "travels")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        sought: dict[int, list[int]] = {}
         host = None
         for batch in batches:
             out_u, out_v = [], []
-            shingles = batch.column("shingles")
-            for i, (h, kind, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("host", "kind", "u", "v")), strict=True)):
+            shingles, asked = batch.column("shingles"), batch.column("asked")
+            for i, (h, travels, node) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("host", "travels", "node")), strict=True)):
                 if h != host:
-                    host, held = h, {}
-                if kind == 0:
-                    held.setdefault(u, []).append(np.frombuffer(shingles[i].as_buffer(), T.U).copy())
-                elif similar(held.get(u, []), held.get(v, []), percent):
-                    out_u.append(u)
-                    out_v.append(v)
+                    host, held, sought = h, {}, {}
+                own = np.frombuffer(shingles[i].as_buffer(), T.U)
+                if not travels:
+                    if node not in held:
+                        for other in asked[i].as_py():
+                            sought.setdefault(other, []).append(node)
+                    held.setdefault(node, []).append(own.copy())
+                    continue
+                for other in sought.get(node, ()):
+                    if similar(held[other], [own], percent):
+                        out_u.append(node)
+                        out_v.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
 
     return shared.materialize(together.mapInArrow(meet, "u long, v long"), "links")
@@ -215,14 +244,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = shared.materialize(sketches.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")), "classes")
     keyed = sketches.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
     nodes = shared.materialize(keyed.join(classes, [*digest, "node"]).select("node", "n_shingles", "label").dropDuplicates(["node", "n_shingles"]), "nodes")
-    pairs = shared.materialize(_pairs(nodes, percent, None), "pairs")
-    first = _confirmed(docs, pairs.where("rank = 0"), percent)
-    joined = shared.materialize(components(first), "joined")
-    again = _pairs(nodes, percent, joined).select("u", "v")
-    tried = pairs.where("rank = 0").select("u", "v")
-    second = _confirmed(docs, shared.materialize(again.join(tried, ["u", "v"], "left_anti"), "across"), percent)
-    final = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second))
-    named = classes.join(final, "node", "left").select(*digest, F.coalesce("component", "node").alias("root"))
+    links = _confirmed(docs, _pairs(nodes, percent), percent)
+    joined = shared.materialize(components(links), "joined")
+    for near, whole in ((NEAR, False), (FAR, True)):
+        links = links.union(_confirmed(docs, _pairs(nodes, percent, joined, near, whole), percent))
+        joined = shared.materialize(components(links), "joined")
+    named = classes.join(joined, "node", "left").select(*digest, F.coalesce("component", "node").alias("root"))
     out = sketches.select("doc_id", *digest).join(named, digest, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumn("component_id", F.col("component_id").cast(docs.schema["doc_id"].dataType))
