@@ -2,8 +2,8 @@
 
 Words of documents and items are hashed; a window whose hash is in the set is held against the words themselves, and
 confirmed windows mark their words. Items with fewer words than a window are windows of their own length. The set is
-cut into blocks of a bounded size, each broadcast by itself; documents are scanned once, with a block at a time in
-memory, so that a larger benchmark takes longer but no more memory.
+cut into blocks of a bounded size, each broadcast by itself; documents are read once and held against a block at a
+time, so that a larger benchmark takes longer but no more memory of a worker.
 
 Edge cases: null and empty texts have no words; items without words or without an id are left out; items that
 repeat are found together; repeated documents get equal rows; other columns are left alone.
@@ -94,15 +94,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in shared.steps(batch, "text"):
-                lowered, n_hit, items, edges = T.LOWERED[data], np.zeros(len(off) - 1, np.int64), [set() for _ in range(len(off) - 1)], None
-                hit = None
-                for b in blocks or [None]:
-                    n_words, now, got, w = scan(lowered, off, [b.value] if b else [], n)
-                    hit = now if hit is None else hit | now
-                    items = [x | y for x, y in zip(items, got, strict=True)]
-                    if len(blocks) > 1:
-                        b.unpersist()
+            parts = [(rows, T.LOWERED[data], off) for rows, data, off in shared.steps(batch, "text")]
+            marks: list[tuple[np.ndarray, list[set[str]]] | None] = [None] * len(parts)
+            for b in blocks or [None]:
+                block = [] if b is None else [b.value if len(blocks) == 1 else b.load_from_path(b._path)]  # one of several isn't kept
+                for i, (_, data, off) in enumerate(parts):
+                    _, now, got, _ = scan(data, off, block, n)
+                    hit, items = marks[i] or (now, got)
+                    marks[i] = hit | now, [x | y for x, y in zip(items, got, strict=True)]
+            for (rows, data, off), (hit, items) in zip(parts, marks, strict=True):
+                w = T.words(data, off, T.ALNUM)
+                n_words = np.diff(w.ptr)
                 n_hit = T.sums(hit, w.ptr)
                 digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 cols = [rows.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
