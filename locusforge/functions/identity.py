@@ -17,9 +17,14 @@ def by_name(column: Column, values: dict[str, object]) -> Column:
     return F.try_element_at(pairs, column)
 
 
+def without_chr(name: Column) -> Column:
+    """Without a chr prefix in any case; no regular expression, as this runs for every row."""
+    return F.when(F.lower(F.substring(name, 1, 3)) == "chr", F.substring(name, 4, 1_000_000)).otherwise(name)
+
+
 def normalize_chromosome(name: Column) -> Column:
     """Without a chr prefix, trimmed, upper case; 23, 24, M, 25 and 26 are X, Y and MT; blanks are null."""
-    bare = F.upper(F.trim(F.regexp_replace(name, "^(?i)chr", "")))
+    bare = F.upper(F.trim(without_chr(name)))
     mapped = F.when(bare == "23", "X").when(bare == "24", "Y").when(bare.isin("M", "25", "26"), "MT").otherwise(bare)
     return F.when(bare.isin("", ".", "NA"), F.lit(None)).otherwise(mapped)
 
@@ -74,7 +79,7 @@ def variant_key(chromosome: Column, position: Column, reference: Column, alterna
 
 
 def normalize_key(key: Column) -> Column:
-    return F.upper(F.regexp_replace(F.trim(key), "^(?i)chr", ""))
+    return F.upper(without_chr(F.trim(key)))
 
 
 def parse_key(key: Column) -> Column:

@@ -118,8 +118,7 @@ def qc_identity_safety_counts(spark, sf_dir):
 
 @query(O.sql("SELECT variant_code, count(*) AS copies FROM q WHERE variant_code IS NOT NULL GROUP BY 1 HAVING count(*) > 1", O.N, O.Q))
 def duplicate_groups(spark, sf_dir):
-    g = view.study(spark, sf_dir)
-    return qc.duplicate_keys(g.select(qc.row_key(g).alias("variant_code")))
+    return qc.duplicate_keys(qc.with_parts(view.study(spark, sf_dir)).select(qc.part_key().alias("variant_code")))
 
 
 @query(O.sql("SELECT ordinal, variant_code FROM q WHERE again AND kept", O.N, O.Q))

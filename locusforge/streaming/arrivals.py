@@ -18,11 +18,11 @@ SCHEMA = "study string, arrived timestamp, ordinal long, chromosome string, base
 def accepted(rows: DataFrame, late: str = "1 hour", build: str = "GRCh38") -> DataFrame:
     """Rows of a stream that no reason speaks against, one for each study and variant."""
     beta, se = F.col("beta"), F.col("standard_error")
-    ready = rows.withColumn("z", F.when(se > 0, beta / se))
+    ready = qc.with_parts(rows.withColumn("z", F.when(se > 0, beta / se)), build)
     bad = F.lit(False)
-    for mask in qc.reasons(ready, build).values():
+    for mask in qc.reasons(ready).values():
         bad = bad | F.coalesce(mask, F.lit(False))
-    kept = ready.where(~bad)
+    kept = ready.where(~bad).drop(*qc.PARTS)
     return qc.canonicalize(kept, build).withWatermark("arrived", late).dropDuplicatesWithinWatermark(["study", "variant_code"])
 
 
