@@ -2,7 +2,7 @@
 
 The distinct pieces of many texts are laid out in one array of tokens. An inverted index maps each possible merge to
 the positions where its pair stands; merges are taken in rank order and applied at all their positions, and only the
-neighbours of a merged pair enter the index anew. Pieces that were seen before come from a bounded cache.
+neighbours of a merged pair enter the index anew. Pieces that were seen before come from a bounded cache, known by 64-bit hashes.
 
 Edge cases: null and empty texts have no tokens; a piece of any length costs time near its length; repeated rows get
 equal results; strings of special tokens are plain text; other columns are left alone.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,9 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from . import shared
+from . import pretoken, shared
+from . import textcore as T
 
-CACHED = 500_000  # pieces in each of two generations
+CACHED = 250_000  # pieces in each of two generations
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -32,16 +33,16 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.single = [self.ranks[bytes([i])] for i in range(256)]
-        self.pieces = regex.compile(pattern)
+        self.pattern, self.pieces = pattern, regex.compile(pattern)
         self.pairs: dict[int, int] = {}  # pair of tokens, as left << 32 | right -> rank of their union, -1 if there is none
         self.first = np.array([self.ranks.get(bytes([i >> 8, i & 255]), -1) for i in range(1 << 16)])  # the same for two bytes
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def rank(self, pair: int) -> int:
         found = self.pairs.get(pair)
         if found is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             found = self.pairs[pair] = self.ranks.get(self.bytes_of[pair >> 32] + self.bytes_of[pair & 0xFFFFFFFF], -1)
         return found
@@ -139,34 +140,53 @@ class Encoder:
                     heappush(todo, (new, h, token[h], token[right[h]]))
         return [t for t in token if t >= 0]
 
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pieces.findall(t) for t in texts]
-        young, old = self.young, self.old
-        seen: set[str] = set().union(*split)
-        now: dict[str, bytes] = {}
-        new: list[str] = []
-        for p in seen:
-            if (got := young.get(p)) is None:
-                if (got := old.get(p)) is None:
-                    new.append(p)
-                    continue
-                young[p] = got
-            now[p] = got
-        raw = [p.encode() for p in new]
-        whole = list(map(self.ranks.get, raw))
-        for p, ids in zip(new, whole, strict=True):
-            if ids is not None:
-                now[p] = young[p] = ids.to_bytes(4, "little")
-        rest = [i for i, ids in enumerate(whole) if ids is None]
-        for i, ids in zip(rest, self.replay([raw[i] for i in rest]), strict=True):
-            now[new[i]] = young[new[i]] = ids
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids before each text) of UTF-8 texts laid end to end; pieces are known by 64-bit hashes."""
+        start, before = self.split(data, off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        end = np.append(start[1:], len(data))
+        names, first, which = np.unique(T.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        young, old, ids, new = self.young, self.old, [], []
+        for i, h in enumerate(names.tolist()):
+            if (got := young.get(h)) is None and (got := old.get(h)) is not None:
+                young[h] = got
+            if got is None:
+                new.append(i)
+            ids.append(got)
+        raw = [data[start[j] : end[j]].tobytes() for j in first[new].tolist()]
+        rest = []
+        for n, (i, word) in enumerate(zip(new, raw, strict=True)):
+            if (whole := self.ranks.get(word)) is None:
+                rest.append(n)
+            else:
+                ids[i] = young[int(names[i])] = whole.to_bytes(4, "little")
+        for n, got in zip(rest, self.replay([raw[n] for n in rest]), strict=True):
+            ids[new[n]] = young[int(names[new[n]])] = got
         if len(young) > CACHED:
             self.old, self.young = young, {}
-        return [b"".join(map(now.__getitem__, pieces)) for pieces in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        count = size[which]
+        total = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
+        out = pool[np.repeat((np.cumsum(size) - size)[which] - total[:-1], count) + np.arange(total[-1])]
+        return out, total[before]
+
+    def split(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte of each piece, pieces before each text)."""
+        if self.pattern == pretoken.PATTERN:
+            return pretoken.pieces(data, off)
+        raw, starts, before = data.tobytes(), [], [0]
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            for piece in self.pieces.findall(raw[a:b].decode()):
+                starts.append(a)
+                a += len(piece.encode())
+            before.append(len(starts))
+        return np.array(starts, np.int64), np.array(before)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -184,14 +204,17 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks, pattern)
         for batch in batches:
-            for rows, _, _ in shared.steps(batch, "text", 4 << 20):
-                found = bpe.encode(x or "" for x in rows.column("text").to_pylist())
-                cols = [rows.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string())]
+            for rows, data, off in shared.steps(batch, "text", 4 << 20):
+                found, before = bpe.encode(data, off)
+                found = found.astype("<u4", copy=False)
+                parts = [found[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+                hexed = lambda items: pa.array([hashlib.sha256(x).hexdigest() for x in items], pa.string())
+                cols = [rows.column("doc_id"), pa.array(np.diff(before).astype(np.int64)), hexed(x.tobytes() for x in parts), hexed(map(bpe.decode, parts))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    cols.append(pa.array(found, pa.binary()))
+                    cols.append(pa.array([x.tobytes() for x in parts], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", shared.text_bytes()).mapInArrow(run, schema)
