@@ -31,8 +31,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id; of rows that share that id, all do."""
-    return _keep(docs, neardup.near_duplicates(docs).where(~F.col("kept")), "copies")
+    """One document of each group stays, the one with the least id; of rows that repeat id and text, one does."""
+    verdict = shared.materialize(neardup.near_duplicates(docs), "verdict")
+    out = _keep(docs, verdict.where(~F.col("kept")), "copies")
+    again = shared.materialize(verdict.where("kept").groupBy(shared.key_text("doc_id").alias("lf_again")).count().where("count > 1").select("lf_again"), "repeats")
+    if not again.limit(1).count():
+        return out
+    keyed = out.withColumn("lf_key", shared.key_text("doc_id"))
+    met = F.col("lf_key") == F.col("lf_again")
+    once = keyed.join(again, met, "left_anti")
+    return once.union(keyed.join(again, met, "left_semi").dropDuplicates(["lf_key", "text"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
