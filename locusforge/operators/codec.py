@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import tuned
 from ..functions.stats import finite, two_sided_p
 from .rowid import with_blocks
 
@@ -91,7 +92,7 @@ def encode(df: DataFrame, p: Profile = NATIVE, row_id: str = "row_id") -> DataFr
 
     Centres are one row a block; they join by block, broadcast by Spark's own measure of their size.
     """
-    coded = with_residual(with_blocks(df, row_id), p)
+    coded = with_residual(with_blocks(tuned(df), row_id), p)
     joined = coded.join(block_centres(coded), "block_id")
     delta = F.col("se_residual") - F.col("se_centre")
     if p.name == "legacy_clamp":
@@ -132,7 +133,7 @@ def decoded(p: Profile = NATIVE) -> dict[str, Column]:
 
 def decode(df: DataFrame, p: Profile = NATIVE, derived: bool = True) -> DataFrame:
     """Codes to values; with beta = z * SE and the two-sided p of z. Columns that nobody asks for are pruned."""
-    out = df.withColumns(decoded(p))
+    out = tuned(df).withColumns(decoded(p))
     if derived:
         out = out.withColumn("beta", F.col("z") * F.col("standard_error")).withColumn("p_value", two_sided_p("z"))
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import builds, identity
+from ..functions.session import tuned
 from ..functions.stats import finite
 from .select import BIN, sized
 
@@ -34,6 +35,7 @@ def align(df: DataFrame, reference: DataFrame, strand: bool = True, palindromic:
     pairs = [("direct", other, effect), ("reverse", effect, other)]
     if strand:
         pairs += [("complement", identity.reverse_complement(other), identity.reverse_complement(effect)), ("complement_reverse", identity.reverse_complement(effect), identity.reverse_complement(other))]
+    tuned(df)
     good = F.coalesce(effect.rlike("^[ACGTN]+$") & other.rlike("^[ACGTN]+$"), F.lit(False))
     options = F.array(*(F.struct(F.lit(i).alias("rank"), ref.alias("ref"), alt.alias("alt")) for i, (_, ref, alt) in enumerate(pairs)))
     keyed = df.select("ordinal", identity.normalize_chromosome(F.col("chromosome")).alias("c"), F.col("base_pair_location").cast("long").alias("at"), (F.col("effect_allele_frequency")).alias("eaf"), identity.is_palindromic(effect, other).alias("pal"), F.explode(options).alias("o")).where(good)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, stats
+from ..functions.session import tuned
 
 #: Rows of a key or region table that may be broadcast, by count; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -31,7 +32,7 @@ def resolve_p(df: DataFrame) -> DataFrame:
     if "parse_failed" in df.columns:
         valid = valid & ~F.array_contains("parse_failed", "p_value")
     derived = stats.two_sided_p("z")
-    return df.withColumn("p_resolved", F.when(valid, p).otherwise(derived)).withColumn("p_source", F.when(valid, "supplied").when(stats.finite(F.col("z")), "derived").otherwise("unresolved"))
+    return tuned(df).withColumn("p_resolved", F.when(valid, p).otherwise(derived)).withColumn("p_source", F.when(valid, "supplied").when(stats.finite(F.col("z")), "derived").otherwise("unresolved"))
 
 
 def p_provenance(df: DataFrame, threshold: float) -> DataFrame:
