@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -41,9 +41,11 @@ def learn(docs: DataFrame, *, sample_rows: int = 400, sample_chars: int = 4096,
     """(language, dictionary), most rows first. The sample of a language: the rows with the least hash of their text, cut to sample_chars."""
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    ranked = rows.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("text").alias("h")).distinct()
-    ranked.createOrReplaceTempView("lf_lang_sample")
-    sample = docs.sparkSession.sql(f"select lang, text from (select *, row_number() over (partition by lang order by h, text) as r from lf_lang_sample) where r <= {int(sample_rows)} order by lang, r").collect()
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    by_lang = Window.partitionBy("lang").orderBy("h")
+    chosen = hashed.select("lang", "h").distinct().withColumn("r", F.row_number().over(by_lang)).where(F.col("r") <= sample_rows)
+    chosen = shared.materialize(chosen.select("lang", "h", "r"), "sample")  # sample_rows a language
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "r").agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).orderBy("lang", "r").collect()
     texts: dict[str, list[bytes]] = {}
     for r in sample:
         texts.setdefault(r.lang, []).append(letters(r.text))
