@@ -10,7 +10,7 @@ that stay dense at full depth are searched whole. Two texts of similarity s shar
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; with fewer than five words the
 whole sequence is the one shingle; repeated rows share their class; rows with a null id take the least id of their
-class, if it has one; an empty table gives an empty result; other columns are ignored.
+class, and a class without any id is linked with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,8 +20,10 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+#: Characters that must not stand next to a match of these.
+BESIDE = {"iban": "^[A-Za-z0-9]$", "ssn": "^[0-9-]$"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
@@ -68,13 +70,19 @@ def spans_of(text: Column, context: bool = True) -> dict[str, Column]:
         return of if context else None
 
     n = lambda x: F.length(digits(x))
+
+    def apart(kind: str, pattern: str, needs: str | None = None) -> Column:
+        """Matches that the character before or after doesn't carry on."""
+        before = lambda x: F.when(x["start"] > 0, F.substring(text, x["start"], 1)).otherwise("")
+        return F.filter(S.matches(text, pattern, needs), lambda x: ~before(x).rlike(BESIDE[kind]) & ~F.substring(text, x["end"] + 1, 1).rlike(BESIDE[kind]))
+
     return {
         "email": S.kept(S.matches(text, EMAIL, "@"), "email", None, score("email", 0.6)),
         "ip": S.kept(S.matches(text, IP), "ip", lambda x: x.rlike(OCTETS), score("ip", 0.6)),
         "card": S.kept(S.matches(text, CARD), "card", lambda x: n(x).between(16, 19) & luhn(digits(x)), score("card", 0.8)),
         "phone": S.kept(S.matches(text, PHONE, "+"), "phone", lambda x: n(x).between(8, 15), score("phone", 0.6)),
-        "iban": S.kept(S.matches(text, IBAN), "iban", mod97, score("iban", 0.8), 0.7 if context else 0),
-        "ssn": S.kept(S.matches(text, SSN, "-"), "ssn", None, score("ssn", 0.6), 0.7),
+        "iban": S.kept(apart("iban", IBAN), "iban", mod97, score("iban", 0.8), 0.7 if context else 0),
+        "ssn": S.kept(apart("ssn", SSN, "-"), "ssn", None, score("ssn", 0.6), 0.7),
     }
 
 

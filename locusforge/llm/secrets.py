@@ -23,9 +23,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 MORE = {
     "private_key": (r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", "-----BEGIN"),
-    "github": (r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36}", "gh"),
-    "slack": (r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", "xox"),
-    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
+    "github": (r"gh[pousr]_[A-Za-z0-9]{36}", "gh"),
+    "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}+", "xox"),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
 }
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, *MORE]
