@@ -58,6 +58,8 @@ def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_b
         found = resolve.resolve(resolve.project(frame) if "extras" not in options else frame, policy, allow_p_to_se)
         rows, report = qc.apply(found.data, policy, build=build)
         meta = {"qc": {"mode": "compact", **report.__dict__}, "routes": found.routes}
+    if qc_mode == "compact":
+        qc.assert_values(rows)
     return store.write_store(qc.canonicalize(rows, build), path, build=build, meta=meta, **options)
 
 
