@@ -86,20 +86,23 @@ def spans_of(text: Column, context: bool = True) -> dict[str, Column]:
     }
 
 
+def found(text: Column) -> Column:
+    """An array of (kind, start, end, score) by kind as listed, then start."""
+    by_kind = spans_of(F.coalesce(text, F.lit("")))
+    return F.concat(*(by_kind[k] for k in KINDS))
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
-    """The documents with `pii`, an array of (kind, start, end, score) by kind as listed, then start."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = spans_of(text)
-    return docs.withColumn("pii", F.concat(*(found[k] for k in KINDS)))
+    """The documents with their spans as `pii`, in place of any column of that name."""
+    return docs.withColumn("pii", found(F.col("text")))
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """The documents with spans replaced by <KIND> in text (null stays null) and n_chars, where there is one, counted anew."""
-    found = find_pii(docs)
-    out = found.withColumn("text", S.redacted(F.col("text"), F.col("pii")))
+    out = docs.withColumn("lf_spans", found(F.col("text"))).withColumn("text", S.redacted(F.col("text"), F.col("lf_spans")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("lf_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -34,9 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/locusforge/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/locusforge/{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return f"{folder}/{name}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has put into the shared folder; results that read from there are gone with it."""
+    while _MADE:
+        delete(spark, _MADE.pop())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -26,9 +26,10 @@ def test_checksums_and_context_decide_on_more_kinds(spark):
 
 def test_redaction_replaces_spans_and_keeps_columns(spark):
     d = brute.docs(spark, ["é mail a@b.com, ip 10.0.0.1!", None, "clean"]).withColumn("pii", F.lit("clash"))
-    out = pii.redact_pii(d.drop("pii"))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    out = pii.redact_pii(d)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "pii"]
     rows = out.orderBy("doc_id").collect()
+    assert {r.pii for r in rows} == {"clash"}
     assert [r.text for r in rows] == ["é mail <EMAIL>, ip <IP>!", None, "clean"]
     assert rows[0].n_chars == len(rows[0].text)
     again = pii.pii_report(d)  # a column of that name in the input doesn't get in the way
