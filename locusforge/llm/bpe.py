@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import pretoken, shared
 from . import textcore as T
 
-CACHED = 250_000  # pieces in each of two generations
+CACHED = 150_000  # pieces in each of two generations
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -204,7 +204,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks, pattern)
         for batch in batches:
-            for rows, data, off in shared.steps(batch, "text", 4 << 20):
+            for rows, data, off in shared.steps(batch, "text"):
                 found, before = bpe.encode(data, off)
                 found = found.astype("<u4", copy=False)
                 parts = [found[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
