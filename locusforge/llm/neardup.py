@@ -4,8 +4,9 @@ Texts with equal sets are one class. Each tree of the forest orders the classes
 neighbours in that order share the longest prefixes. Groups that share BASE_DEPTH values are searched whole where they
 are small; a denser region is searched at the least depth at which it is small, and its neighbours in order are
 candidates besides. Links of next neighbours are confirmed and joined into components first; the second pass takes up
-candidates between components among near neighbours, and the last all others between components, for which groups
-that stay dense at full depth are searched whole. Two texts of similarity s share a prefix of BASE_DEPTH in some tree with probability
+candidates between components. What dense regions may still hold is found exactly: all texts of a dense group with more
+than one component are joined on the rare shingles by which two sets that are similar enough have to meet (prefixes in
+order of frequency). Two texts of similarity s share a prefix of BASE_DEPTH in some tree with probability
 1 - (1 - s^3)^TREES: all but 2 in 100,000 at 0.75.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; with fewer than five words the
@@ -32,7 +33,9 @@ DEPTH = 8
 BASE_DEPTH = 3
 SMALL = 48  # a group of so many is searched whole
 NEAR = 4  # neighbours in order that a row of a dense region is held against besides
-FAR = 24  # the same, once most of a dense region is joined
+SAMPLE = 8192  # texts that tell which shingles of dense regions are common; of the exact join it sets the cost alone
+COMMON = 500_000  # such shingles
+MEET = 1 << 22  # pairs that are held at once
 LIST = 4096  # nodes that one row of candidates lists, about
 HOUSE = 64  # texts that ask at one place
 _R = np.random.default_rng(77)
@@ -88,11 +91,11 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_bytes()).mapInArrow(run, "doc_id long, n_shingles long, da long, db long, label binary")
 
 
-def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int, near: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int, near: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that are in order of (tree, label).
 
     Without group: next neighbours. group: components of the rows; then all pairs across components in groups that are
-    small, up to `near` neighbours in dense regions, and with `whole` all of groups that are dense at full depth.
+    small, and up to `near` neighbours in dense regions.
     """
     n = len(node)
     if n < 2:
@@ -111,8 +114,6 @@ def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.n
         reach, near = np.zeros(n, np.int64), 1
     else:
         reach = np.where(small <= DEPTH, at - start[np.minimum(small, DEPTH), at], 0)
-        if whole:
-            reach = np.where(small > DEPTH, at - start[DEPTH], reach)
     reach = np.maximum(reach, np.minimum(near, at - start[BASE_DEPTH]))
     out_u, out_v = [], []
     o, live = 1, np.flatnonzero(reach >= 1)
@@ -144,7 +145,7 @@ def lists(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return asks[start], part[start], np.append(start, len(asks)), asked
 
 
-def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None = None, near: int = NEAR, whole: bool = False) -> DataFrame:
+def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None = None, near: int = NEAR) -> DataFrame:
     """asks, part, asked (array): candidates of the forest. classes: node, n_shingles, label."""
     rows = classes
     grouped = groups is not None
@@ -161,17 +162,135 @@ def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None = None, ne
         col = lambda k: table.column(k).combine_chunks().to_numpy(zero_copy_only=False)
         raw, _ = shared.buffers(table.column("label"))
         label = raw.view(">u4").reshape(-1, DEPTH).astype(np.uint32)
-        u, v = candidates(col("tree"), label, col("node"), col("n_shingles"), col("component") if grouped else None, percent, near, whole)
-        asks, part, edge, asked = lists(u, v)
-        for i in range(0, len(asks), 5000):
-            j = min(len(asks), i + 5000)
-            items = pa.ListArray.from_arrays(pa.array((edge[i : j + 1] - edge[i]).astype(np.int32)), pa.array(asked[edge[i] : edge[j]]))
-            yield pa.RecordBatch.from_arrays([pa.array(asks[i:j]), pa.array(part[i:j]), items], ["asks", "part", "asked"])
-
-    found = ordered.mapInArrow(run, "asks long, part long, asked array<bigint>")
+        u, v = candidates(col("tree"), label, col("node"), col("n_shingles"), col("component") if grouped else None, percent, near)
+        yield from _listed(u, v)
+
+    return _gathered(ordered.mapInArrow(run, "asks long, part long, asked array<bigint>"))
+
+
+def _listed(u: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    asks, part, edge, asked = lists(u, v)
+    for i in range(0, len(asks), 5000):
+        j = min(len(asks), i + 5000)
+        items = pa.ListArray.from_arrays(pa.array((edge[i : j + 1] - edge[i]).astype(np.int32)), pa.array(asked[edge[i] : edge[j]]))
+        yield pa.RecordBatch.from_arrays([pa.array(asks[i:j]), pa.array(part[i:j]), items], ["asks", "part", "asked"])
+
+
+def _gathered(found: DataFrame) -> DataFrame:
     return shared.materialize(found.groupBy("asks", "part").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")), "asked")
 
 
+def _dense(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, component) of all in a group of BASE_DEPTH values that is more than SMALL and holds several components."""
+    rows = classes.join(groups.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label")
+    keyed = rows.select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * BASE_DEPTH})").alias("prefix"), "node", "component")
+    mixed = keyed.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = shared.materialize(mixed.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("tree", "prefix"), "mixed")
+    few = mixed.count() <= shared.BROADCAST_ROWS
+    return shared.materialize(keyed.join(F.broadcast(mixed) if few else mixed, ["tree", "prefix"], "left_semi").select("node", "component").distinct(), "dense")
+
+
+def prefixes(sets: list[np.ndarray], common: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, size, place, shingle) of the rarest shingles of each set, one of which each similar set has among its own rarest."""
+    size = np.array([len(s) for s in sets], np.int64)
+    text, all_of = np.repeat(np.arange(len(sets)), size), np.concatenate([np.zeros(0, T.U), *sets])
+    rank = np.zeros(len(all_of), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, all_of), len(common) - 1)
+        rank = np.where(common[at] == all_of, count[at], 0)
+    all_of = all_of[np.lexsort((all_of, rank, text))]
+    place = np.arange(len(all_of)) - (np.cumsum(size) - size)[text]
+    n = size[text]
+    keep = place <= n + (-percent * n // 100)
+    return text[keep], n[keep], place[keep], all_of[keep]
+
+
+def meetings(token: np.ndarray, component: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs across components with a shingle in common that leaves both enough; rows are in order of (token, component).
+
+    The smaller set of a similar pair holds the first of their common shingles among fewer places, so those rows ask.
+    """
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    part = new | np.concatenate([[True], component[1:] != component[:-1]])
+    edge, cut = np.append(np.flatnonzero(new), len(token)), np.append(np.flatnonzero(part), len(token))
+    g, c = np.cumsum(new) - 1, np.cumsum(part) - 1
+    own = cut[c + 1] - cut[c]
+    others = edge[g + 1] - edge[g] - own
+    asks = np.flatnonzero((others > 0) & (place <= n + (-2 * percent * n // (100 + percent))))
+    ends = np.cumsum(others[asks])
+    at = 0
+    while at < len(asks):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - others[asks[at]] + MEET, "right")))
+        i = np.repeat(asks[at:to], others[asks[at:to]])
+        j = np.arange(len(i)) - np.repeat(ends[at:to] - others[asks[at:to]] - (ends[at] - others[asks[at]]), others[asks[at:to]]) + edge[g[i]]
+        j += np.where(j >= cut[c[i]], own[i], 0)
+        ok = (n[i] <= n[j]) & (n[j] * percent <= n[i] * 100) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= -(-percent * (n[i] + n[j]) // (100 + percent)))
+        yield node[i[ok]], node[j[ok]]
+        at = to
+
+
+def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """asks, part, asked (array): every pair across components of `dense` that may be similar enough."""
+    spark = docs.sparkSession
+
+    def texts(nodes: DataFrame, few: bool) -> DataFrame:
+        return docs.select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes()).join(F.broadcast(nodes) if few else nodes, "node")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, off in shared.steps(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, off)).view(np.int64))], ["token"])
+
+    some = dense.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
+    known = texts(some, True).mapInArrow(spread, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
+    common, order = np.unique(known["token"].to_numpy(np.int64).view(T.U), return_index=True)
+    held = spark.sparkContext.broadcast((common, known["count"].to_numpy(np.int64)[order]))
+    names = ["token", "component", "node", "n", "place"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, off in shared.steps(batch, "text"):
+                text, n, place, token = prefixes(shingle_sets(data, off), *held.value, percent)
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), rows.column("component").take(at), rows.column("node").take(at), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names)
+
+    few = dense.count() <= shared.BROADCAST_ROWS
+    rare = texts(dense, few).mapInArrow(make, "token long, component long, node long, n int, place int")
+    together = rare.repartition("token").sortWithinPartitions("token", "component")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us: list[np.ndarray] = []
+        vs: list[np.ndarray] = []
+
+        def work(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            token, component, node, n, place = (table.column(k).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for k in names)
+            for u, v in meetings(token, component, node, n, place, percent):
+                us.append(u)
+                vs.append(v)
+                if sum(map(len, us)) >= MEET:
+                    yield from _listed(np.concatenate(us), np.concatenate(vs))
+                    us.clear(), vs.clear()
+            if last and us:
+                yield from _listed(np.concatenate(us), np.concatenate(vs))
+
+        waiting, rows, enough = [], 0, 1 << 19
+        for batch in batches:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+            table = pa.Table.from_batches(waiting)
+            token = table.column("token").combine_chunks().to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(token, token[-1]))  # the last shingle may go on
+            yield from work(table.slice(0, cut), False)
+            waiting, rows = table.slice(cut).to_batches(), len(token) - cut
+            enough = max(1 << 19, 2 * rows)
+        if rows:
+            yield from work(pa.Table.from_batches(waiting), True)
+
+    return _gathered(together.mapInArrow(meet, "asks long, part long, asked array<bigint>"))
+
+
 def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the candidates whose full sets are similar enough.
 
@@ -246,8 +365,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = shared.materialize(keyed.join(classes, [*digest, "node"]).select("node", "n_shingles", "label").dropDuplicates(["node", "n_shingles"]), "nodes")
     links = _confirmed(docs, _pairs(nodes, percent), percent)
     joined = shared.materialize(components(links), "joined")
-    for near, whole in ((NEAR, False), (FAR, True)):
-        links = links.union(_confirmed(docs, _pairs(nodes, percent, joined, near, whole), percent))
+    links = links.union(_confirmed(docs, _pairs(nodes, percent, joined), percent))
+    joined = shared.materialize(components(links), "joined")
+    dense = _dense(nodes, joined)
+    if dense.limit(1).count():
+        links = links.union(_confirmed(docs, _rare_pairs(docs, dense, percent), percent))
         joined = shared.materialize(components(links), "joined")
     named = classes.join(joined, "node", "left").select(*digest, F.coalesce("component", "node").alias("root"))
     out = sketches.select("doc_id", *digest).join(named, digest, "left")

@@ -72,6 +72,36 @@ def test_large_groups_short_texts_and_shared_passages(spark):
     assert got[0] == (0, 0) and got[3][1] == got[4][1] == 3 and got[7][1] == 7
 
 
+def test_pairs_in_a_region_dense_at_full_depth(spark):
+    r, passage, texts, want = random.Random(9), " ".join(f"p{i}" for i in range(122)), [], {}
+    for i in range(1500):
+        own = [f"u{i}-{j}" for j in range(23)]
+        texts.append(f"{passage} " + " ".join(own))
+        want[len(texts) - 1] = len(texts) - 1
+        if i < 400:  # 121 of 161 shingles stay; other texts of the region share 118 of 164
+            texts.append(f"{passage} " + " ".join(own[:3] + [f"n{i}-{j}" for j in range(20)]))
+            want[len(texts) - 1] = len(texts) - 2
+    name = list(range(len(texts)))
+    r.shuffle(name)  # ids say nothing of the pairs
+    docs = spark.createDataFrame([(name[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(docs).collect()}
+    pairs = {i: min(name[i], name[i + 1]) for i in range(0, 800, 2)}
+    assert got == {name[i]: pairs.get(c, name[i]) for i, c in want.items()}
+
+
+def test_rare_shingles_meet_in_every_similar_pair(monkeypatch):
+    monkeypatch.setattr(neardup, "MEET", 5)
+    r = np.random.default_rng(4)
+    for percent in (60, 75, 90):
+        sets = [np.unique(r.choice(40, r.integers(1, 40)).astype(neardup.T.U)) for _ in range(120)] + [np.arange(30, dtype=neardup.T.U) + neardup.T.U(i // 2) for i in range(12)]
+        common = np.arange(0, 40, 3).astype(neardup.T.U)
+        text, n, place, token = neardup.prefixes(sets, common, common.astype(np.int64) + 2, percent)
+        order = np.lexsort((text % 50, token))
+        found = {frozenset(p) for u, v in neardup.meetings(token[order], text[order] % 50, text[order], n[order], place[order], percent) for p in zip(u.tolist(), v.tolist(), strict=True)}
+        want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if i % 50 != j % 50 and neardup.similar([sets[i]], [sets[j]], percent)}
+        assert want and want <= found
+
+
 def test_a_pair_at_the_threshold(spark):
     base = [f"t{i}" for i in range(39)]  # 35 shingles, of which a new end keeps 30 of 40
     assert equal(spark, [" ".join(base), " ".join([*base[:34], *[f"n{i}" for i in range(5)]])])[1] == (35, 0)
