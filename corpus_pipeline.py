@@ -1,8 +1,9 @@
 """Raw documents to token ids, in five stages; each works on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and reads
-it for the next. All but the last return the columns of documents. Rows with null ids pass the joins by null-safe keys;
-empty tables give empty results.
+it for the next. All but the last return the columns of documents. Verdicts are
+those of a text under its id: rows with null ids and repeated ids meet them by a null-safe key and the digest of the
+text. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,26 +14,32 @@ from pyspark.sql import functions as F
 from locusforge.llm import bpe, decontam, neardup, pii, quality, shared
 
 
+def _digested(docs: DataFrame) -> DataFrame:
+    """The documents with the digest of their text, which operators carry along."""
+    return docs.withColumn("lf_text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+
+
 def _keep(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
-    """The documents whose id isn't among those turned down; repeated rows of an id share its verdict.
+    """The documents whose id and text aren't among those turned down; rows that repeat both share the verdict.
 
-    Ids to drop are few against the documents; they are broadcast where a count says so, and joined by shuffle otherwise.
+    Keys to drop are few against the documents; they are broadcast where a count says so, and joined by shuffle otherwise.
     """
-    out = shared.materialize(verdict.select(shared.key_text("doc_id").alias("lf_out")).distinct(), name)
+    out = shared.materialize(verdict.select(shared.key_text("doc_id").alias("lf_out"), F.col("lf_text").alias("lf_out_text")).distinct(), name)
     if out.count() <= shared.BROADCAST_ROWS:
         out = F.broadcast(out)
-    return docs.withColumn("lf_key", shared.key_text("doc_id")).join(out, F.col("lf_key") == F.col("lf_out"), "left_anti").select(*docs.columns)
+    met = (F.col("lf_key") == F.col("lf_out")) & (F.col("lf_text") == F.col("lf_out_text"))
+    return _digested(docs).withColumn("lf_key", shared.key_text("doc_id")).join(out, met, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the forest reject go."""
-    verdict = quality.quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    verdict = quality.quality_rules(_digested(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("lf_text",))
     return _keep(docs, verdict.where(~F.col("kept")), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id; of rows that repeat id and text, one does."""
-    verdict = shared.materialize(neardup.near_duplicates(docs), "verdict")
+    verdict = shared.materialize(neardup.near_duplicates(_digested(docs), carry=("lf_text",)), "verdict")
     out = _keep(docs, verdict.where(~F.col("kept")), "copies")
     again = shared.materialize(verdict.where("kept").groupBy(shared.key_text("doc_id").alias("lf_again")).count().where("count > 1").select("lf_again"), "repeats")
     if not again.limit(1).count():
@@ -45,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.find_contamination(_digested(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("lf_text",))
     return _keep(docs, found.where("contaminated"), "contaminated")
 
 

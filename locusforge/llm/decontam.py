@@ -85,12 +85,13 @@ def _blocks(benchmark: DataFrame, n: int) -> list:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with `spans` also the text and the hit spans (bytes)."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry`, n_words, n_hit, n_items, items_sha256, contaminated; with `spans` also the text and the hit spans (bytes)."""
     spark = docs.sparkSession
     shared.prepare(spark)
     blocks = _blocks(benchmark, n)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    keys = ["doc_id", *carry]
+    fields = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +108,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
                 n_words = np.diff(w.ptr)
                 n_hit = T.sums(hit, w.ptr)
                 digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                cols = [rows.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
-                names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+                cols = [*(rows.column(k) for k in keys), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
+                names = [*keys, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
                 if spans:
                     edges = []
                     for i in range(len(off) - 1):
@@ -119,7 +120,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
                     names.append("hits")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if spans:
         schema += ", hits array<struct<start:int,end:int>>"
-    return docs.select("doc_id", shared.text_bytes()).mapInArrow(look, schema)
+    return docs.select(*keys, shared.text_bytes()).mapInArrow(look, schema)

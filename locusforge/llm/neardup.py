@@ -74,8 +74,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def _sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, size and 128-bit digest of the set, label (big-endian min-hashes; null for an empty set)."""
+def _sketch(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry`, size and 128-bit digest of the set, label (big-endian min-hashes; null for an empty set)."""
     shared.prepare(docs.sparkSession)
     salt = T.U(0xD6E8FEB86659FD93)
 
@@ -86,9 +86,10 @@ def _sketch(docs: DataFrame) -> DataFrame:
                 a = np.array([T.mix(s).sum(dtype=T.U) for s in sets], T.U).view(np.int64)
                 b = np.array([T.mix(s ^ salt).sum(dtype=T.U) for s in sets], T.U).view(np.int64)
                 labels = [signature(s).astype(">u4").tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array(labels, pa.binary())], ["doc_id", "n_shingles", "da", "db", "label"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("doc_id", *carry)), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array(labels, pa.binary())], ["doc_id", *carry, "n_shingles", "da", "db", "label"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_bytes()).mapInArrow(run, "doc_id long, n_shingles long, da long, db long, label binary")
+    fields = "".join(f"{k} {docs.schema[k].dataType.simpleString()}, " for k in carry)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, shared.text_bytes()).mapInArrow(run, f"doc_id long, {fields}n_shingles long, da long, db long, label binary")
 
 
 def candidates(tree: np.ndarray, label: np.ndarray, node: np.ndarray, size: np.ndarray, group: np.ndarray | None, percent: int, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,9 +357,9 @@ def similar(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> bool:
     return False
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    sketches = shared.materialize(_sketch(docs), "sketches")
+def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry`, n_shingles, component_id, kept for each row."""
+    sketches = shared.materialize(_sketch(docs, carry), "sketches")
     digest = ["da", "db", "n_shingles"]
     classes = shared.materialize(sketches.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")), "classes")
     keyed = sketches.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
@@ -372,6 +373,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         links = links.union(_confirmed(docs, _rare_pairs(docs, dense, percent), percent))
         joined = shared.materialize(components(links), "joined")
     named = classes.join(joined, "node", "left").select(*digest, F.coalesce("component", "node").alias("root"))
-    out = sketches.select("doc_id", *digest).join(named, digest, "left")
+    out = sketches.select("doc_id", *carry, *digest).join(named, digest, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumn("component_id", F.col("component_id").cast(docs.schema["doc_id"].dataType))
+    return out.select("doc_id", *carry, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumn("component_id", F.col("component_id").cast(docs.schema["doc_id"].dataType))

@@ -126,18 +126,19 @@ class IsolationForest:
         return np.exp2(-total / max(1, len(self.grown)) / float(_expected(self.psi)))
 
 
-def rule_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS for each document."""
+def rule_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry` and COUNTS for each document."""
     shared.prepare(docs.sparkSession)
-    id_type = docs.schema["doc_id"].dataType
+    keys = ["doc_id", *carry]
+    fields = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
                 c = statistics(data, off)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], ["doc_id", *COUNTS])
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], [*keys, *COUNTS])
 
-    return docs.select("doc_id", shared.text_bytes()).mapInArrow(count, f"doc_id {id_type.simpleString()}, " + ", ".join(f"{k} long" for k in COUNTS))
+    return docs.select(*keys, shared.text_bytes()).mapInArrow(count, f"{fields}, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def _scored(counts: DataFrame, forest: IsolationForest, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -166,13 +167,13 @@ def threshold_from(bins: list[tuple[float, int, int]], max_false_reject: float)
     return at
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8192, trees: int = 128, tree_rows: int = 256, max_false_reject: float = 0.005) -> DataFrame:
-    """doc_id, base statistics, base_failed, anomaly (score), anomaly_cut, kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8192, trees: int = 128, tree_rows: int = 256, max_false_reject: float = 0.005, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of `carry`, base statistics, base_failed, anomaly (score), anomaly_cut, kept.
 
     sample_rows bounds the good and the bad labelled rows that the forest sees, each: those with the least hash of
     their id. Good rows are what trees isolate; both give the box that cuts are drawn from.
     """
-    counts = shared.materialize(rule_statistics(docs), "quality")
+    counts = shared.materialize(rule_statistics(docs, carry), "quality")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = shared.materialize(counts.where(~failed).join(label, "doc_id"), "labelled")
@@ -186,6 +187,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8192
         forest.fit(good, box.min(0), box.max(0))
         bins = _scored(known, forest, ("quality",)).groupBy(F.floor(F.col("anomaly") * 500).alias("bin")).agg(F.sum(F.expr("int(quality = 1)")).alias("g"), F.sum(F.expr("int(quality <> 1)")).alias("b")).collect()  # at most 501 rows
         cut = threshold_from([(r.bin / 500, r.g, r.b) for r in bins], max_false_reject)
-    scored = _scored(counts, forest) if forest.grown else counts.withColumn("anomaly", F.lit(0.0))
+    scored = _scored(counts, forest, carry) if forest.grown else counts.withColumn("anomaly", F.lit(0.0))
     fits = F.lit(True) if cut is None else F.floor(F.col("anomaly") * 500) / 500 < F.lit(cut)
-    return scored.withColumn("base_failed", failed).withColumn("anomaly_cut", F.lit(cut).cast("double")).withColumn("kept", ~F.col("base_failed") & fits).select("doc_id", *BASE, "base_failed", "anomaly", "anomaly_cut", "kept")
+    return scored.withColumn("base_failed", failed).withColumn("anomaly_cut", F.lit(cut).cast("double")).withColumn("kept", ~F.col("base_failed") & fits).select("doc_id", *carry, *BASE, "base_failed", "anomaly", "anomaly_cut", "kept")

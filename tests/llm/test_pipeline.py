@@ -72,6 +72,21 @@ def test_tokens_are_those_of_the_redacted_texts(stages):
         assert got[i].ids_sha256 == hashlib.sha256(got[i].ids).hexdigest() and got[i].n_tokens * 4 == len(got[i].ids)
 
 
+def test_verdicts_are_of_a_text_and_not_of_all_rows_of_its_id(spark, sf_dir):
+    good = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id is not null and length(text) > 100").first().text
+    leak = f"{good('l')} {item}"
+
+    def left(stage, data):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], brute.SCHEMA)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, sf_dir).collect()), key=repr)
+
+    fine = [(None, good("a")), (None, good("b")), (7, good("c"))]
+    assert left(corpus_pipeline.quality_rules, [*fine, (None, "too short"), (7, "short as well")]) == sorted(fine, key=repr)
+    assert left(corpus_pipeline.decontamination, [*fine, (None, leak), (7, leak)]) == sorted(fine, key=repr)
+    assert left(corpus_pipeline.near_duplicates, [*fine, (1, good("d")), (None, good("d"))]) == sorted([*fine, (1, good("d"))], key=repr)
+
+
 def test_odd_rows_and_empty_tables_pass_through(spark, sf_dir):
     text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(None, text + " one", "en", None, None), (1, None, None, None, None), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (3, text + " a@b.com", None, None, None)], brute.SCHEMA)
