@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,33 @@ def test_validate_and_damage(spark, native, tmp_path):
         store.open_store(spark, s.path)
 
 
+def test_order_of_blocks_is_checked_at_any_size(spark):
+    class Large:
+        """A table that says it has 200,000,001 rows."""
+
+        def __init__(self, df):
+            self.groupBy, self.n = df.groupBy, 200_000_001
+
+        def agg(self, *_):
+            return self
+
+        def first(self):
+            return SimpleNamespace(n=self.n, low=0, high=self.n - 1, ids=self.n, codes=self.n)
+
+    class Held(store.Store):
+        def table(self):
+            return Large(self.held)
+
+    for blocks, fits in (([(0, 1), (0, 5), (1, 6), (1, 8), (2, 9)], True), ([(0, 1), (0, 6), (1, 5), (1, 8)], False), ([(0, 1), (2, 5)], False)):
+        held = Held(spark, "", {"n_rows": 200_000_001, "profile": "exact"})
+        held.held = spark.createDataFrame(blocks, "block_id int, variant_code long")
+        if fits:
+            assert held.validate(full=False)["valid"]
+        else:
+            with pytest.raises(StoreError, match="overlap"):
+                held.validate(full=False)
+
+
 def test_overwrite_duplicates_and_empty(spark, native):
     df = qc.canonicalize(fx.study(spark, 20))
     with pytest.raises(StoreError, match="exists"):
