@@ -58,15 +58,16 @@ REASONS = {
     "invalid_p_value": "p_value < 0 OR p_value > 1",
     "missing_statistics": "beta IS NULL OR z IS NULL OR standard_error IS NULL OR standard_error <= 0",
 }
+# DuckDB 2.0 hangs under a LIMIT where these two are kept for several readers.
 Q = (
     "q0 AS (SELECT *, "
     + code("c", "base_pair_location", "other_allele", "effect_allele")
     + " AS variant_code, [x FOR x IN ["
     + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in REASONS.items())
     + """] IF x IS NOT NULL] AS base_reasons FROM n),
-q1 AS (SELECT *, variant_code IS NOT NULL AND count(*) OVER (PARTITION BY variant_code) > 1 AS again,
+q1 AS NOT MATERIALIZED (SELECT *, variant_code IS NOT NULL AND count(*) OVER (PARTITION BY variant_code) > 1 AS again,
               row_number() OVER (PARTITION BY variant_code ORDER BY ordinal) = 1 AS first_copy FROM q0),
-q AS (SELECT *, CASE WHEN again THEN list_append(base_reasons, 'duplicate_variant') ELSE base_reasons END AS reasons,
+q AS NOT MATERIALIZED (SELECT *, CASE WHEN again THEN list_append(base_reasons, 'duplicate_variant') ELSE base_reasons END AS reasons,
              len(base_reasons) = 0 AND (NOT again OR first_copy) AS kept FROM q1)"""
 )
 K = """k AS (
