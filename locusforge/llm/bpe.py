@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pieces of many texts are laid out in one array of tokens. An inverted index maps each possible merge to
-the positions where its pair stands; merges are taken in rank order and applied at all their positions, and only the
-neighbours of a merged pair enter the index anew. Pieces that were seen before come from a bounded cache, known by 64-bit hashes.
+The corpus is taken by step: the distinct pieces of a step's texts that no earlier step of the worker replayed (a bounded
+cache has those) are laid out in one array of tokens. An inverted index maps each pair of tokens to the positions where
+it stands; merges are taken in rank order and applied at all positions of their pairs, and only the neighbours of a merged pair
+enter the index anew. Where a merge brings up one of an earlier rank, the rest of that piece waits until that is done.
 
 Edge cases: null and empty texts have no tokens; a piece of any length costs time near its length; repeated rows get
 equal results; strings of special tokens are plain text; other columns are left alone.
@@ -12,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from . import pretoken, shared
 from . import textcore as T
 
 CACHED = 150_000  # pieces in each of two generations
+CACHED_BYTES = 64  # of a piece that is kept
 _LOADED: dict[tuple[str, str], Encoder] = {}
 
 
@@ -36,8 +39,8 @@ class Encoder:
         self.pattern, self.pieces = pattern, regex.compile(pattern)
         self.pairs: dict[int, int] = {}  # pair of tokens, as left << 32 | right -> rank of their union, -1 if there is none
         self.first = np.array([self.ranks.get(bytes([i >> 8, i & 255]), -1) for i in range(1 << 16)])  # the same for two bytes
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def rank(self, pair: int) -> int:
         found = self.pairs.get(pair)
@@ -53,10 +56,10 @@ class Encoder:
             return []
         data = b"".join(words)
         edge = np.cumsum([0, *map(len, words)])
-        begin, n = edge[:-1].tolist(), len(data)
+        edges, n = edge.tolist(), len(data)
         token = list(map(self.single.__getitem__, data))  # -1: merged away
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))  # neighbours in the word, -1 at its ends
-        for i in begin:
+        for i in edges[:-1]:
             left[i] = right[i - 1] = -1
         raw = np.frombuffer(data, np.uint8).astype(np.int64)
         ranks = self.first[(raw[:-1] << 8) | raw[1:]]
@@ -64,15 +67,36 @@ class Encoder:
         at = np.flatnonzero(ranks >= 0)
         at = at[np.argsort(ranks[at], kind="stable")]
         cut = np.flatnonzero(np.diff(ranks[at], prepend=-1))
-        index = {int(ranks[x[0]]): x.tolist() for x in np.split(at, cut[1:]) if len(x)}  # merge -> positions of the left token of its pair
-        todo = sorted(index)
-        turned: set[int] = set()  # positions where a merge brought up an earlier one
+        index: dict[int, list[int]] = {}  # pair of tokens -> positions of its left one
+        pairs: dict[int, list[int]] = {}  # merge -> pairs that make it and stand in the index
         known, rank = self.pairs.get, self.rank
+        for x in np.split(at, cut[1:]):
+            if len(x):
+                i = int(x[0])
+                pair = token[i] << 32 | token[i + 1]
+                index[pair], pairs[int(ranks[i])] = x.tolist(), [pair]
+        todo = sorted(pairs)
+
+        def enter(pair: int, new: int, i: int) -> None:
+            if pair in index:
+                index[pair].append(i)
+            else:
+                index[pair] = [i]
+                if new in pairs:
+                    pairs[new].append(pair)
+                else:
+                    pairs[new] = [pair]
+                    heappush(todo, new)
+
         while todo:
             r = heappop(todo)
-            places = index.pop(r)
+            places = [i for pair in pairs.pop(r) for i in index.pop(pair)]
             places.sort()
+            wait, until = [], 0  # a merge that brings up an earlier one lets the rest of its word wait for that
             for i in places:
+                if i < until:
+                    wait.append(i)
+                    continue
                 a, j = token[i], right[i]
                 if a < 0 or j < 0:
                     continue
@@ -88,13 +112,9 @@ class Encoder:
                     if new is None:
                         new = rank(pair)
                     if new >= 0:
-                        if new <= r:
-                            turned.add(i)
-                        if new in index:
-                            index[new].append(i)
-                        else:
-                            index[new] = [i]
-                            heappush(todo, new)
+                        enter(pair, new, i)
+                        if new < r:
+                            until = edges[bisect_right(edges, i)]
                 h = left[i]
                 if h >= 0:
                     pair = token[h] << 32 | r
@@ -102,67 +122,42 @@ class Encoder:
                     if new is None:
                         new = rank(pair)
                     if new >= 0:
-                        if new <= r:
-                            turned.add(i)
-                        if new in index:
-                            index[new].append(h)
-                        else:
-                            index[new] = [h]
-                            heappush(todo, new)
+                        enter(pair, new, h)
+                        if new < r:
+                            until = edges[bisect_right(edges, i)]
+            for i in wait:
+                if token[i] >= 0 and right[i] >= 0 and rank(pair := token[i] << 32 | token[right[i]]) == r:
+                    enter(pair, r, i)
         final = np.array(token)
         stays = final >= 0
         count = np.zeros(n + 1, np.int64)
         np.cumsum(stays, out=count[1:])
         ids = final[stays].astype("<u4").tobytes()
         ends = (4 * count[edge]).tolist()
-        out = [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        for w in {int(np.searchsorted(edge, i, "right")) - 1 for i in turned}:
-            out[w] = np.array(self.alone(words[w]), "<u4").tobytes()  # where ranks fall again, the order within the word binds
-        return out
-
-    def alone(self, word: bytes) -> list[int]:
-        """One word, one merge at a time: the lowest rank first, then the leftmost."""
-        token, n = [self.single[b] for b in word], len(word)
-        left, right = [-1, *range(n - 1)], [*range(1, n), -1]
-        todo = [(r, i, token[i], token[i + 1]) for i in range(n - 1) if (r := self.rank(token[i] << 32 | token[i + 1])) >= 0]
-        heapify(todo)
-        while todo:
-            r, i, a, b = heappop(todo)
-            j = right[i]
-            if token[i] != a or j < 0 or token[j] != b:
-                continue
-            token[i], token[j] = r, -1
-            right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-            for h in (left[i], i):
-                if h >= 0 and right[h] >= 0 and (new := self.rank(token[h] << 32 | token[right[h]])) >= 0:
-                    heappush(todo, (new, h, token[h], token[right[h]]))
-        return [t for t in token if t >= 0]
+        return [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids before each text) of UTF-8 texts laid end to end; pieces are known by 64-bit hashes."""
+        """(ids of all texts, ids before each text) of UTF-8 texts laid end to end."""
         start, before = self.split(data, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(data))
-        names, first, which = np.unique(T.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        young, old, ids, new = self.young, self.old, [], []
-        for i, h in enumerate(names.tolist()):
-            if (got := young.get(h)) is None and (got := old.get(h)) is not None:
-                young[h] = got
-            if got is None:
-                new.append(i)
+        first, which = T.distinct_spans(data, start, end)
+        young, old, ids, new, raw = self.young, self.old, [], [], data.tobytes()
+        words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        for i, word in enumerate(words):
+            if (got := young.get(word)) is None:
+                if (got := old.get(word)) is not None:
+                    young[word] = got
+                elif (whole := self.ranks.get(word)) is not None:
+                    got = whole.to_bytes(4, "little")
+                else:
+                    new.append(i)
             ids.append(got)
-        raw = [data[start[j] : end[j]].tobytes() for j in first[new].tolist()]
-        rest = []
-        for n, (i, word) in enumerate(zip(new, raw, strict=True)):
-            if (whole := self.ranks.get(word)) is None:
-                rest.append(n)
-            else:
-                ids[i] = young[int(names[i])] = whole.to_bytes(4, "little")
-        for n, got in zip(rest, self.replay([raw[n] for n in rest]), strict=True):
-            ids[new[n]] = young[int(names[new[n]])] = got
+        for i, got in zip(new, self.replay([words[i] for i in new]), strict=True):
+            ids[i] = got
+            if len(words[i]) <= CACHED_BYTES:
+                young[words[i]] = got
         if len(young) > CACHED:
             self.old, self.young = young, {}
         pool = np.frombuffer(b"".join(ids), "<u4")

@@ -35,7 +35,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     first, hashes = T.windows(T.span_hashes(data, w.start, w.end), w.doc, WINDOW)
     key = T.mix(hashes ^ (w.doc[first].astype(T.U) * T._P))
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    same = (key[order][1:] == key[order][:-1]) & (w.doc[first][order][1:] == w.doc[first][order][:-1])
     again = np.zeros(len(key), bool)
     again[order[1:][same]] = again[order[:-1][same]] = True
     repeated = T.covered(first[again], WINDOW, len(w.start))

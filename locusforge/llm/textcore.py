@@ -1,7 +1,7 @@
 """Words, lines and windows of many texts at once, on UTF-8 bytes in numpy.
 
 A text never shares a word or window with its neighbour in the batch. Hashes are 64 bits wide and depend on
-the bytes alone, so that they agree between workers and runs.
+the bytes alone, so that they agree between workers and runs; what must be exact compares keys or bytes besides.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-_CHUNK = 1 << 17  # bytes of one hashing step; a longer span is hashed by itself
+SHORT = 16  # bytes of a span up to which its key holds them all
 _P = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POW = np.concatenate([np.ones(1, U), np.full(_CHUNK, _P)]).cumprod()
-_IPOW = np.concatenate([np.ones(1, U), np.full(_CHUNK, _INVERSE)]).cumprod()
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], U)  # the low bytes of a word of eight
 _WINDOW = np.random.default_rng(20240607).integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -64,23 +62,43 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> Words:
     return Words(start, end, ptr, np.repeat(np.arange(len(off) - 1), np.diff(ptr)))
 
 
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, head, tail) of each span: its own bytes up to SHORT of them, and a 128-bit digest beyond."""
+    n = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    head = eight[start] & _LOW[np.minimum(n, 8)]
+    tail = np.where(n > 8, eight[np.maximum(end - 8, 0)], U(0))
+    for i in np.flatnonzero(n > SHORT).tolist():
+        digest = xxhash.xxh3_128_intdigest(data[start[i] : end[i]].tobytes())
+        head[i], tail[i] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+    return n, head, tail
+
+
+def _folded(n: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    return mix(mix(head + n.astype(U) * _P) + tail)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash for each span; spans are in order and don't overlap."""
-    out, i, n = np.empty(len(start), U), 0, len(start)
-    while i < n:
-        j = int(np.searchsorted(end, start[i] + _CHUNK, "right"))
-        if j <= i:
-            out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
-            i += 1
-            continue
-        base = start[i]
-        part = data[base : end[j - 1]].astype(U) + U(1)
-        total = np.zeros(len(part) + 1, U)
-        np.cumsum(part * _POW[: len(part)], out=total[1:])
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = (total[e] - total[s]) * _IPOW[s]
-        i = j
-    return mix(out + (end - start).astype(U) * _P)
+    """A hash for each span."""
+    return _folded(*span_keys(data, start, end))
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a span of each content, the content of each span); where hashes meet, the keys decide."""
+    keys = span_keys(data, start, end)
+    _, first, which = np.unique(_folded(*keys), return_index=True, return_inverse=True)
+    if all((k == k[first][which]).all() for k in keys):
+        return first, which
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def windows(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

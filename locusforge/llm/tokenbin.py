@@ -153,13 +153,14 @@ def read_file(source) -> tuple[pa.Table, Iterator[np.ndarray]]:
 
 
 CACHED = 250_000  # pieces in each of two generations
+CACHED_BYTES = 64  # of a piece that is kept
 _LOADED: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
     """The tokenizers library, asked once for each distinct piece that its byte-level splitter makes.
 
-    A piece's ids don't depend on what is around it. Pieces are known by 64-bit hashes; texts that hold a special
+    A piece's ids don't depend on what is around it. Texts that hold a special
     token's string, and tokenizers with another splitter, go through the library whole.
     """
 
@@ -170,8 +171,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = pattern == pretoken.PATTERN
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
         """Ids of each piece, by one call for all."""
@@ -203,18 +204,20 @@ class PieceEncoder:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(data))
-        names, first, which = np.unique(T.span_hashes(data, start, end), return_index=True, return_inverse=True)
-        young, old, ids, new = self.young, self.old, [], []
-        for i, h in enumerate(names.tolist()):
-            if (got := young.get(h)) is None and (got := old.get(h)) is not None:
-                young[h] = got
+        first, which = T.distinct_spans(data, start, end)
+        young, old, ids, new, raw = self.young, self.old, [], [], data.tobytes()
+        words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        for i, word in enumerate(words):
+            if (got := young.get(word)) is None and (got := old.get(word)) is not None:
+                young[word] = got
             if got is None:
                 new.append(i)
             ids.append(got)
         if new:
-            texts = [data[start[j] : end[j]].tobytes().decode() for j in first[new].tolist()]
-            for i, h, got in zip(new, names[new].tolist(), self._each(texts), strict=True):
-                ids[i] = young[h] = got
+            for i, got in zip(new, self._each([words[i].decode() for i in new]), strict=True):
+                ids[i] = got
+                if len(words[i]) <= CACHED_BYTES:
+                    young[words[i]] = got
         if len(young) > CACHED:
             self.old, self.young = young, {}
         pool = np.frombuffer(b"".join(ids), "<u4")

@@ -72,7 +72,16 @@ def test_falling_ranks_and_other_patterns(tmp_path):
     ids, before = encoder.encode(*lay(texts))
     for i, t in enumerate(texts):
         assert ids[before[i] : before[i + 1]].tolist() == own.encode_ordinary(t), t
-        assert [x for p in regex.findall(r"\S+|\s+", t) for x in encoder.alone(p.encode())] == own.encode_ordinary(t)
+
+
+def test_alike_words_in_one_batch_and_from_the_cache(library):
+    """Words whose polynomial hashes meet, whatever the base."""
+    one, two = brute.thue_morse(1024)
+    encoder, pieces = bpe.Encoder(RANKS, public_tokenizers.PATTERN), tokenbin.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    for texts in ([one], [two], [one, two], [f"{two} {one}", one]):
+        for e in (encoder, pieces):
+            ids, before = e.encode(*lay(texts))
+            assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:], strict=True)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_query_and_edges(spark, sf_dir, library):

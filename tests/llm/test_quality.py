@@ -28,6 +28,13 @@ def test_statistics_equal_plain_counts(spark):
         assert tuple(got[i][k] for k in quality.BASE) == plain(text), text and text[:50]
 
 
+def test_alike_words_make_no_repeats():
+    one, two = brute.thue_morse(1024)
+    rest = " ".join("abcdefg")
+    data = np.frombuffer(f"{rest} {one} {rest} {two}".encode(), np.uint8)
+    assert quality.statistics(data, np.array([0, len(data)]))["n_repeat_words"].tolist() == [0]
+
+
 def test_query_on_small_tables(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = entry.op1_quality_rules(spark, sf_dir).collect()
