@@ -1,7 +1,7 @@
 """Near-duplicates: MinHash signatures in an LSH forest, links confirmed on whole shingle sets.
 
 Texts with equal sets are one class. Each tree of the forest orders the classes by its own labels of DEPTH min-hashes;
-neighbours in that order share the longest prefixes. Groups that share BASE_DEPTH values are searched whole where they
+neighbours in that order share the longest prefixes. A task has whole groups, but for the few that are hot. Groups that share BASE_DEPTH values are searched whole where they
 are small; a denser region is searched at the least depth at which it is small, and its neighbours in order are
 candidates besides. Links of next neighbours are confirmed and joined into components first; the second pass takes up
 candidates between components. What dense regions may still hold is found exactly: all texts of a dense group with more
@@ -11,7 +11,8 @@ order of frequency). Two texts of similarity s share a prefix of BASE_DEPTH in s
 
 Edge cases: null texts and texts without words have an empty set and link with nothing; with fewer than five words the
 whole sequence is the one shingle; repeated rows share their class; rows with a null id take the least id of their
-class, and a class without any id is linked with nothing; an empty table gives an empty result; other columns are ignored.
+class, and a class without any id is linked with nothing; an id that repeats links the texts it names; ids are integers, others
+raise ValueError; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ NEAR = 4  # neighbours in order that a row of a dense region is held against bes
 SAMPLE = 8192  # texts that tell which shingles of dense regions are common; of the exact join it sets the cost alone
 COMMON = 500_000  # such shingles
 MEET = 1 << 22  # pairs that are held at once
-LIST = 4096  # nodes that one row of candidates lists, about
+LIST = 1024  # nodes that one row of candidates lists, about
 HOUSE = 64  # texts that ask at one place
 _R = np.random.default_rng(77)
 _A = (_R.integers(0, 1 << 31, TREES * DEPTH, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -146,15 +147,29 @@ def lists(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return asks[start], part[start], np.append(start, len(asks)), asked
 
 
-def _pairs(classes: DataFrame, percent: int, groups: DataFrame | None = None, near: int = NEAR) -> DataFrame:
+def _trees(classes: DataFrame, *more: str) -> DataFrame:
+    """tree, prefix (BASE_DEPTH values), node and the columns of `more`, once a tree."""
+    return classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * BASE_DEPTH})").alias("prefix"), "node", *more)
+
+
+def _hot(classes: DataFrame) -> DataFrame:
+    """(tree, prefix) of groups with more rows than a HOT_KEYS-th of all; there are HOT_KEYS at most."""
+    keyed = _trees(classes)
+    cap = max(SMALL, classes.count() * TREES // shared.HOT_KEYS)
+    return shared.materialize(keyed.groupBy("tree", "prefix").count().where(F.col("count") > cap).select("tree", "prefix", F.lit(True).alias("hot")), "hot")
+
+
+def _pairs(classes: DataFrame, hot: DataFrame, percent: int, groups: DataFrame | None = None, near: int = NEAR) -> DataFrame:
     """asks, part, asked (array): candidates of the forest. classes: node, n_shingles, label."""
     rows = classes
     grouped = groups is not None
     if grouped:
         rows = rows.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = ["component"] * grouped
-    rows = rows.select("node", "n_shingles", *more, F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label").select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("label"), "node", "n_shingles", *more)
-    ordered = rows.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    rows = _trees(rows, "n_shingles", *more, "label").withColumn("label", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * DEPTH})"))
+    rows = rows.join(F.broadcast(hot), ["tree", "prefix"], "left")
+    place = F.when(F.col("hot"), F.concat("label", F.unhex(F.lpad(F.hex("node"), 16, "0")))).otherwise(F.col("prefix"))  # only hot groups are cut between tasks
+    ordered = rows.withColumn("place", place).repartitionByRange("tree", "place").sortWithinPartitions("tree", "label", "node").select("tree", "label", "node", "n_shingles", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # one range of narrow rows, sized by the shuffle
@@ -183,12 +198,11 @@ def _gathered(found: DataFrame) -> DataFrame:
 
 def _dense(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(node, component) of all in a group of BASE_DEPTH values that is more than SMALL and holds several components."""
-    rows = classes.join(groups.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "label")
-    keyed = rows.select("tree", F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * BASE_DEPTH})").alias("prefix"), "node", "component")
+    rows = classes.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keyed = _trees(rows, "component")
     mixed = keyed.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = shared.materialize(mixed.where((F.col("n") > SMALL) & (F.col("low") < F.col("high"))).select("tree", "prefix"), "mixed")
-    few = mixed.count() <= shared.BROADCAST_ROWS
-    return shared.materialize(keyed.join(F.broadcast(mixed) if few else mixed, ["tree", "prefix"], "left_semi").select("node", "component").distinct(), "dense")
+    return shared.materialize(keyed.join(mixed, ["tree", "prefix"], "left_semi").select("node", "component").distinct(), "dense")
 
 
 def prefixes(sets: list[np.ndarray], common: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -234,8 +248,8 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     """asks, part, asked (array): every pair across components of `dense` that may be similar enough."""
     spark = docs.sparkSession
 
-    def texts(nodes: DataFrame, few: bool) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes()).join(F.broadcast(nodes) if few else nodes, "node")
+    def texts(nodes: DataFrame) -> DataFrame:
+        return _texts(docs, nodes).join(nodes, "node")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +257,7 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, off)).view(np.int64))], ["token"])
 
     some = dense.orderBy(F.xxhash64("node"), "node").limit(SAMPLE)
-    known = texts(some, True).mapInArrow(spread, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
+    known = texts(F.broadcast(some)).mapInArrow(spread, "token long").groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
     common, order = np.unique(known["token"].to_numpy(np.int64).view(T.U), return_index=True)
     held = spark.sparkContext.broadcast((common, known["count"].to_numpy(np.int64)[order]))
     names = ["token", "component", "node", "n", "place"]
@@ -255,8 +269,7 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), rows.column("component").take(at), rows.column("node").take(at), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names)
 
-    few = dense.count() <= shared.BROADCAST_ROWS
-    rare = texts(dense, few).mapInArrow(make, "token long, component long, node long, n int, place int")
+    rare = texts(dense).mapInArrow(make, "token long, component long, node long, n int, place int")
     together = rare.repartition("token").sortWithinPartitions("token", "component")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +305,12 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     return _gathered(together.mapInArrow(meet, "asks long, part long, asked array<bigint>"))
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents that are among the nodes, and of a few others; texts don't move."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes())
+    return shared.sieve(rows, nodes, ["node"])[1]
+
+
 def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the candidates whose full sets are similar enough.
 
@@ -305,9 +324,7 @@ def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     homes = shared.materialize(lists.join(housed, "asks").select("asks", "asked", F.xxhash64("least", "block", "part").alias("host")), "homes")
     trips = homes.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("asked"))).alias("asked")).select("host", F.explode("asked").alias("node"))
     routes = shared.materialize(homes.select(F.col("asks").alias("node"), "host", "asked").union(trips.select("node", "host", F.lit(None).cast("array<bigint>"))), "routes")
-    few = routes.count() <= shared.BROADCAST_ROWS
-    wanted = routes.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), shared.text_bytes()).join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    texts = _texts(docs, routes)  # the join with routes below drops what the filter lets through
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,14 +376,17 @@ def similar(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `carry`, n_shingles, component_id, kept for each row."""
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("doc_id has to be an integer")
     sketches = shared.materialize(_sketch(docs, carry), "sketches")
     digest = ["da", "db", "n_shingles"]
     classes = shared.materialize(sketches.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")), "classes")
     keyed = sketches.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
-    nodes = shared.materialize(keyed.join(classes, [*digest, "node"]).select("node", "n_shingles", "label").dropDuplicates(["node", "n_shingles"]), "nodes")
-    links = _confirmed(docs, _pairs(nodes, percent), percent)
+    nodes = shared.materialize(keyed.join(classes, [*digest, "node"]).select("node", "n_shingles", "label").distinct(), "nodes")
+    hot = _hot(nodes)
+    links = _confirmed(docs, _pairs(nodes, hot, percent), percent)
     joined = shared.materialize(components(links), "joined")
-    links = links.union(_confirmed(docs, _pairs(nodes, percent, joined), percent))
+    links = links.union(_confirmed(docs, _pairs(nodes, hot, percent, joined), percent))
     joined = shared.materialize(components(links), "joined")
     dense = _dense(nodes, joined)
     if dense.limit(1).count():

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import spans as S
 
 # Each pattern starts where a run starts, or where the last match ended: a start within a run cannot match
@@ -99,10 +100,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """The documents with spans replaced by <KIND> in text (null stays null) and n_chars, where there is one, counted anew."""
-    out = docs.withColumn("lf_spans", found(F.col("text"))).withColumn("text", S.redacted(F.col("text"), F.col("lf_spans")))
+    spans = shared.fresh(docs, "lf_spans")
+    out = docs.withColumn(spans, found(F.col("text"))).withColumn("text", S.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("lf_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -55,37 +55,19 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: str = RULES)
     ledger = ledger or shared.scratch(spark, "ledger")
     paths = shared.materialize(addressed(docs), "paths")
     blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    try:
-        seen = spark.read.parquet(ledger)
-    except Exception as e:  # a ledger that isn't there yet has no rows; anything else is an error
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = None
-    if seen is not None:
-        blobs = blobs.join(seen.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
+    if shared.exists(spark, ledger):
+        blobs = blobs.join(spark.read.parquet(ledger).where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     unseen = shared.materialize(blobs, "unseen")
-    rows = docs.select(shared.key_text("doc_id").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    todo = unscanned(rows, paths, unseen)
+    rows = docs.select(shared.key_text("doc_id").alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    spare = shared.materialize(paths.select("path", "blob").join(unseen, ["path", "blob"], "left_anti").distinct(), "spare")
+    todo = shared.without(rows, spare, ["path", "blob"])  # one row at least of each unseen blob
     fresh = todo.select("blob", spans_of(F.col("text")).alias("secrets")).dropDuplicates(["blob"]).withColumn("rules", F.lit(rules))
     fresh.write.mode("append").parquet(ledger)
     found = spark.read.parquet(ledger).where((F.col("rules") == rules) & (F.size("secrets") > 0)).select("blob", "secrets").dropDuplicates(["blob"])
-    joined = paths.select("doc_id", "blob").join(found, "blob", "left")
+    joined = shared.join_spread(paths.select("doc_id", "blob"), found, "blob", "left")
     return joined.select("doc_id", F.coalesce("secrets", F.array().cast(S.SPANS)).alias("secrets")), ledger
 
 
-def unscanned(rows: DataFrame, paths: DataFrame, unseen: DataFrame) -> DataFrame:
-    """blob and text of one row at least for each unseen blob.
-
-    Where the rows that are not needed are few, they are broadcast and no text is shuffled; else both sides are.
-    """
-    keyed = rows.withColumn("blob", F.unhex(F.sha2("text", 256)))
-    spare = paths.select("path", "blob").join(unseen, ["path", "blob"], "left_anti")
-    spare = shared.materialize(spare, "spare")
-    if spare.count() <= shared.BROADCAST_ROWS:
-        return keyed.join(F.broadcast(spare), ["path", "blob"], "left_anti")
-    return keyed.join(unseen, ["path", "blob"], "left_semi")
-
-
 def secrets_report(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """doc_id, counts of base kinds, digest of the base spans, all spans."""
     found, _ = scan_secrets(docs, ledger)

@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 
-#: Rows (of a few numbers or short strings each) that may be broadcast; beyond it operators shuffle.
-BROADCAST_ROWS = 500_000
+#: Bits of the filter by which rows without a partner stay where they are: 8 MB, whatever the input.
+SIEVE_BITS = 1 << 26
+_BITMAP = 1 << 15  # bits that one bitmap of Spark's holds
+#: Keys that are spread over several tasks are those with more than this part of all rows; so no more can be hot.
+HOT_KEYS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +80,56 @@ def prepare(spark: SparkSession) -> None:
     context._locusforge_shipped = True
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def sieve(rows: DataFrame, some: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose keys are surely not in `some`, the others: those that are, and a few that aren't).
+
+    The keys of `some` set bits of a bitmap of fixed size, which is all that is broadcast; so that a join of the others
+    moves about as many rows as have a partner. Where `some` has more keys than the map has bits, it moves most rows. Keys aren't null.
+    """
+    number, held = fresh(rows, "lf_map"), fresh(rows, "lf_bits")
+    place = F.pmod(F.xxhash64(*on), F.lit(SIEVE_BITS))
+    bits = some.select(place.alias("place")).groupBy((F.col("place") / _BITMAP).cast("int").alias(number)).agg(F.bitmap_construct_agg(F.col("place") % _BITMAP).alias(held))
+    at = F.pmod(place, F.lit(_BITMAP)).cast("int")
+    byte = F.conv(F.hex(F.substring(held, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.bit_get(byte, at % 8) == 1, F.lit(False))
+    tagged = rows.withColumn(number, (place / _BITMAP).cast("int")).join(F.broadcast(bits), number, "left")
+    return tagged.where(~marked).select(*rows.columns), tagged.where(marked).select(*rows.columns)
+
+
+def without(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose keys aren't in `some`."""
+    clear, others = sieve(rows, some, on)
+    return clear.union(others.join(some.select(*on), on, "left_anti").select(*rows.columns))
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has a key once; a key with many rows is dealt over several tasks, beside copies of its entry.
+
+    With cap = rows / HOT_KEYS, at most HOT_KEYS keys have more rows than cap; these are broadcast, and have 2 x HOT_KEYS
+    copies in all. Call it on narrow rows that are written already.
+    """
+    cap = max(1, rows.count() // HOT_KEYS)
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(key, F.ceil(F.col("n") / cap).alias("lf_salts"))
+    hot = F.broadcast(materialize(hot, "hot"))
+    salt = F.when(F.col("lf_salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("lf_salts"))).otherwise(F.lit(0)).cast("long")
+    left = rows.join(hot, key, "left").withColumn("lf_salt", salt).drop("lf_salts")
+    right = table.join(hot, key, "left").withColumn("lf_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("lf_salts"), F.lit(1)).cast("long") - 1))).drop("lf_salts")
+    return left.join(right, [key, "lf_salt"], how).drop("lf_salt")
+
+
 def key_text(name: str) -> Column:
     """A key column as text that is never null, for joins that must not lose rows with null keys."""
     return F.coalesce(F.col(name).cast("string"), F.lit("\x00null"))

@@ -56,13 +56,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     text = F.coalesce(F.col("text"), F.lit(""))
     paths = shared.materialize(docs.select("doc_id", shared.key_text("doc_id").alias("path"), F.unhex(F.sha2(text, 256)).alias("content"), F.octet_length(text).cast("long").alias("n_bytes")), "contents")
     missing = paths.groupBy("content").agg(F.min("path").alias("path"))
-    if (stored := _stored(spark, cache, name)) is not None:
-        missing = missing.join(stored, "content", "left_anti")
+    if shared.exists(spark, cache):
+        missing = missing.join(_stored(spark, cache, name), "content", "left_anti")
     missing = shared.materialize(missing, "missing")
     keyed = docs.select(shared.key_text("doc_id").alias("path"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
-    spare = shared.materialize(paths.select("path", "content").join(missing, ["path", "content"], "left_anti"), "spare")
-    few = spare.count() <= shared.BROADCAST_ROWS  # then no text is shuffled
-    todo = keyed.join(F.broadcast(spare), ["path", "content"], "left_anti") if few else keyed.join(missing, ["path", "content"], "left_semi")
+    spare = shared.materialize(paths.select("path", "content").join(missing, ["path", "content"], "left_anti").distinct(), "spare")
+    todo = shared.without(keyed, spare, ["path", "content"])  # one row at least of each missing content
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
@@ -73,13 +72,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     fresh = todo.select("content", "text").mapInArrow(encode, "content binary, n_tokens long").dropDuplicates(["content"])
     fresh.withColumn("tokenizer", F.lit(name)).write.mode("append").parquet(cache)
     counts = _stored(spark, cache, name, "n_tokens").dropDuplicates(["content"])
-    return paths.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    joined = shared.join_spread(paths.select("doc_id", "n_bytes", "content"), counts, "content")
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _stored(spark, cache: str, name: str, *columns: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(cache).where(F.col("tokenizer") == name).select("content", *columns)
-    except Exception as e:  # a cache that isn't there yet has no rows; anything else is an error
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+def _stored(spark, cache: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(cache).where(F.col("tokenizer") == name).select("content", *columns)

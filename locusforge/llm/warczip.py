@@ -221,13 +221,14 @@ def read_package(source) -> Iterator[tuple[dict[str, str], dict[str, str], bytes
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and, for all but the largest page_id of equal payloads of min_bytes, refers_to."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", payload.alias("payload"), F.when(F.length(payload) >= min_bytes, F.sha1(payload)).alias("digest"))
-    last = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
-    last = shared.materialize(last, "copies")
-    if last.count() <= shared.BROADCAST_ROWS:
-        last = F.broadcast(last)
-    joined = keyed.join(last, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last"))), F.col("last")).alias("refers_to"))
+    keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256))).withColumn("path", shared.key_text("page_id"))
+    narrow = shared.materialize(keyed.where(F.length("payload") >= min_bytes).select("page_id", "path", "digest"), "payloads")
+    last = narrow.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
+    again = shared.join_spread(narrow, shared.materialize(last, "copies"), "digest").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
+    again = shared.materialize(again.select("path", "digest", F.col("last").alias("refers_to")).distinct(), "revisits")
+    first, others = shared.sieve(keyed, again, ["path", "digest"])
+    columns = ["page_id", "url", "payload", "refers_to"]
+    return first.withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)).select(*columns).union(others.join(again, ["path", "digest"], "left").select(*columns))
 
 
 @dataclass

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from locusforge.llm import components, entry, neardup, shared
 from tests.llm import brute
@@ -108,6 +109,25 @@ def test_a_pair_at_the_threshold(spark):
     assert equal(spark, [" ".join(base), " ".join([*base[:33], *[f"n{i}" for i in range(6)]])])[1] == (35, 1)
 
 
+def test_alike_words_and_text_ids(spark):
+    one, two = brute.thue_morse(1024)
+    assert {i: c for i, (_, c) in equal(spark, [one, two, f"a b {one}", f"a b {two}", one]).items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    with pytest.raises(ValueError, match="integer"):
+        neardup.near_duplicates(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
+
+
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    a, b = near_copies(1, 60, 0, 5)[0], near_copies(1, 60, 0, 6)[0]
+    d = spark.createDataFrame([(5, a), (5, b), (6, a + " tail"), (7, b + " tail")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(d).collect()} == {(5, 5), (6, 5), (7, 5)}
+
+
+def test_full_filter_and_ranges_cut_at_hot_groups_alone(spark, monkeypatch):
+    monkeypatch.setattr(shared, "SIEVE_BITS", 4)
+    monkeypatch.setattr(shared, "HOT_KEYS", 2)
+    equal(spark, [*near_copies(80, 40, 4, 3), *near_copies(30, 12, 2, 4), *near_copies(2, 30, 2, 5)])
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "z"), (9, None)], "doc_id long, text string").withColumn("component", shared.F.lit("clash"))
     got = sorted(map(tuple, neardup.near_duplicates(d).collect()), key=str)

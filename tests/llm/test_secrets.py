@@ -33,10 +33,11 @@ def test_other_rules(spark):
     assert got == ["private_key", "github", "slack", "jwt", ""]
 
 
-def test_both_ways_to_fetch_texts_agree(spark, monkeypatch):
-    d = brute.docs(spark, ["token=abcdefgh1", "y", "y", None, ""])
+def test_a_full_filter_and_hot_texts_change_nothing(spark, monkeypatch):
+    d = brute.docs(spark, ["token=abcdefgh1", "y", "y", None, "", *["token=abcdefgh1"] * 30])
     few = sorted(map(tuple, secrets.secrets_report(d).collect()))
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "SIEVE_BITS", 4)
+    monkeypatch.setattr(shared, "HOT_KEYS", 5)
     assert sorted(map(tuple, secrets.secrets_report(d).collect())) == few
 
 

@@ -31,3 +31,37 @@ def test_materialized_tables_are_released(spark):
     shared._MADE[:] = kept
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_sieve_keeps_all_rows_and_tells_keys_apart(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id", "cast(id % 700 as string) as k", "'x' as lf_map", "1 as LF_BITS")
+    some = spark.range(0, 700, 7).selectExpr("cast(id as string) as k")
+    want = {i for i in range(5000) if i % 700 % 7}
+    for bits in (shared.SIEVE_BITS, 1 << 17, 64):
+        monkeypatch.setattr(shared, "SIEVE_BITS", bits)
+        clear, others = shared.sieve(rows, some, ["k"])
+        a, b = {r.id for r in clear.collect()}, {r.id for r in others.collect()}
+        assert a <= want and not a & b and len(a | b) == 5000 and clear.columns == rows.columns
+        assert bits < 1 << 20 or a == want
+        out = shared.without(rows, some, ["k"])
+        assert {r.id for r in out.collect()} == want and out.columns == rows.columns
+
+
+def test_join_spread_deals_hot_keys_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_KEYS", 10)
+    rows = shared.materialize(spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) as k"), "rows")
+    table = spark.createDataFrame([("hot", 1), *((str(i), i) for i in range(0, 50, 2))], "k string, v int")
+    inner = sorted((r.id, r.v) for r in shared.join_spread(rows, table, "k").collect())
+    assert inner == sorted((i, 1 if i % 3 == 0 else i % 50) for i in range(3000) if i % 3 == 0 or i % 50 % 2 == 0)
+    left = shared.join_spread(rows, table, "k", "left")
+    assert left.count() == 3000 and left.where("v is null").count() == 3000 - len(inner)
+
+
+def test_distinct_spans_by_keys_where_hashes_meet(monkeypatch):
+    words = [b"a", b"bb", b"a", b"x" * 17, b"x" * 18, b"bb", b"x" * 17, b"12345678", b"123456789"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    edge = np.cumsum([0, *map(len, words)])
+    for folded in (T._folded, lambda n, head, tail: np.zeros(len(n), T.U)):
+        monkeypatch.setattr(T, "_folded", folded)
+        first, which = T.distinct_spans(data, edge[:-1], edge[1:])
+        assert [words[first[i]] for i in which] == words and len(first) == len(set(words))

@@ -43,7 +43,8 @@ def test_cache_encodes_only_misses(spark, monkeypatch):
     again = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(d.union(brute.docs(spark, ["new"], 50)), MODEL, poisoned).collect()}
     assert again[50] < 10 and all(again[i] == n + 1000 for i, _, n, _ in first)
     assert spark.read.parquet(poisoned).count() == stored.count() + 1
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "SIEVE_BITS", 4)
+    monkeypatch.setattr(shared, "HOT_KEYS", 2)
     assert sorted(map(tuple, tokencount.count_tokens(d, MODEL).collect())) == first
 
 

@@ -31,8 +31,9 @@ def test_query_equals_plain_grouping(spark, sf_dir):
 def test_copies_nulls_and_odd_urls(spark, monkeypatch):
     rows = [(1, "http://a/é ?x\r\nWARC-Type: evil", "same"), (5, None, "same"), (3, "", "same"), (7, "u", None), (9, "u", ""), (None, "u", "same"), (10, "u", "x\r\n\r\ny" * 5000), (5, "u", "same")]
     want = {(1, "revisit", 5), (5, "response", None), (3, "revisit", 5), (7, "revisit", 9), (9, "response", None), (None, "revisit", 5), (10, "response", None)}
-    for bound in (warczip.shared.BROADCAST_ROWS, 0):
-        monkeypatch.setattr(warczip.shared, "BROADCAST_ROWS", bound)
+    for bits, hot in ((warczip.shared.SIEVE_BITS, warczip.shared.HOT_KEYS), (4, 2)):
+        monkeypatch.setattr(warczip.shared, "SIEVE_BITS", bits)
+        monkeypatch.setattr(warczip.shared, "HOT_KEYS", hot)
         out = warczip.archive_report(pages(spark, rows)).collect()
         assert len(out) == len(rows) and {(r.page_id, r.record_type, r.refers_to) for r in out} == want
     few = warczip.write_archives(pages(spark, rows), min_bytes=5).read(spark)
