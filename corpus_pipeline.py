@@ -14,45 +14,49 @@ from pyspark.sql import functions as F
 from locusforge.llm import bpe, decontam, neardup, pii, quality, shared
 
 
-def _digested(docs: DataFrame) -> DataFrame:
-    """The documents with the digest of their text, which operators carry along."""
-    return docs.withColumn("lf_text", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+def _digested(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with the digest of their text, which operators carry along, and its name."""
+    name = shared.fresh(docs, "lf_text")
+    return docs.withColumn(name, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))), name
+
+
+def _met(docs: DataFrame, verdict: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(the documents with null-safe keys, the keys of the verdict's rows, their names)."""
+    docs, text = _digested(docs)
+    key = shared.fresh(docs, "lf_key")
+    return docs.withColumn(key, shared.key_text("doc_id")), shared.materialize(verdict.select(shared.key_text("doc_id").alias(key), text).distinct(), name), [key, text]
 
 
 def _keep(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
     """The documents whose id and text aren't among those turned down; rows that repeat both share the verdict.
 
-    Keys to drop are few against the documents; they are broadcast where a count says so, and joined by shuffle otherwise.
+    Texts stay where they are, but for those that a filter of fixed size can't tell from the ones to drop.
     """
-    out = shared.materialize(verdict.select(shared.key_text("doc_id").alias("lf_out"), F.col("lf_text").alias("lf_out_text")).distinct(), name)
-    if out.count() <= shared.BROADCAST_ROWS:
-        out = F.broadcast(out)
-    met = (F.col("lf_key") == F.col("lf_out")) & (F.col("lf_text") == F.col("lf_out_text"))
-    return _digested(docs).withColumn("lf_key", shared.key_text("doc_id")).join(out, met, "left_anti").select(*docs.columns)
+    return shared.without(*_met(docs, verdict, name)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the forest reject go."""
-    verdict = quality.quality_rules(_digested(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("lf_text",))
+    keyed, text = _digested(docs)
+    verdict = quality.quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(text,))
     return _keep(docs, verdict.where(~F.col("kept")), "rejected")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id; of rows that repeat id and text, one does."""
-    verdict = shared.materialize(neardup.near_duplicates(_digested(docs), carry=("lf_text",)), "verdict")
+    keyed, text = _digested(docs)
+    verdict = shared.materialize(neardup.near_duplicates(keyed, carry=(text,)), "verdict")
     out = _keep(docs, verdict.where(~F.col("kept")), "copies")
-    again = shared.materialize(verdict.where("kept").groupBy(shared.key_text("doc_id").alias("lf_again")).count().where("count > 1").select("lf_again"), "repeats")
-    if not again.limit(1).count():
-        return out
-    keyed = out.withColumn("lf_key", shared.key_text("doc_id"))
-    met = F.col("lf_key") == F.col("lf_again")
-    once = keyed.join(again, met, "left_anti")
-    return once.union(keyed.join(again, met, "left_semi").dropDuplicates(["lf_key", "text"])).select(*docs.columns)
+    again = verdict.where("kept").groupBy("doc_id", text).count().where("count > 1")
+    rows, keys, on = _met(out, again, "repeats")
+    once, others = shared.sieve(rows, keys, on)
+    return once.union(others.dropDuplicates(on)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontam.find_contamination(_digested(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("lf_text",))
+    keyed, text = _digested(docs)
+    found = decontam.find_contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=(text,))
     return _keep(docs, found.where("contaminated"), "contaminated")
 
 
