@@ -1,7 +1,8 @@
 """Quality rules: rule statistics of each text, and an isolation forest over them.
 
 Trees of random splits are grown over a bounded sample of rows labelled good; a text that few splits set apart
-from them is anomalous. The score that separates is calibrated on all labelled rows, as counts by score bin.
+from them is anomalous. The score that separates is calibrated on the labelled rows that the forest has not seen (half of
+them, by a hash of the id), as counts by score bin; the shares caught and falsely rejected there are reported.
 
 Edge cases: a null or empty text has no words and fails the base rule; ties and repeated rows get the same verdict;
 without usable labels the forest isn't grown and the base rule alone decides; other columns are ignored.
@@ -167,8 +168,17 @@ def threshold_from(bins: list[tuple[float, int, int]], max_false_reject: float)
     return at
 
 
+def shares(bins: list[tuple[float, int, int]], cut: float | None) -> tuple[float | None, float | None]:
+    """(caught of the bad, rejected of the good) by a cut."""
+    out = []
+    for which in (2, 1):
+        total = sum(b[which] for b in bins)
+        out.append(sum(b[which] for b in bins if cut is not None and b[0] >= cut) / total if total else None)
+    return out[0], out[1]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8192, trees: int = 128, tree_rows: int = 256, max_false_reject: float = 0.005, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of `carry`, base statistics, base_failed, anomaly (score), anomaly_cut, kept.
+    """doc_id, the columns of `carry`, base statistics, base_failed, anomaly (score), anomaly_cut and its held-out caught_share and false_share, kept.
 
     sample_rows bounds the good and the bad labelled rows that the forest sees, each: those with the least hash of
     their id. Good rows are what trees isolate; both give the box that cuts are drawn from.
@@ -177,16 +187,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 8192
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     label = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = shared.materialize(counts.where(~failed).join(label, "doc_id"), "labelled")
+    seen = F.xxhash64("doc_id") % 2 == 0
+
     def sample(which: str) -> np.ndarray:
-        rows = known.where(which).select(F.xxhash64("doc_id").alias("h"), *COUNTS).orderBy("h", *COUNTS).limit(sample_rows).toPandas()
+        rows = known.where(seen).where(which).select(F.xxhash64("doc_id").alias("h"), *COUNTS).orderBy("h", *COUNTS).limit(sample_rows).toPandas()
         return features({k: rows[k].to_numpy() for k in COUNTS})
 
-    cut, forest, good = None, IsolationForest(trees, tree_rows), sample("quality = 1")
+    cut, bins, forest, good = None, [], IsolationForest(trees, tree_rows), sample("quality = 1")
     if len(good) >= 2:
         box = np.concatenate([good, sample("quality <> 1")])
         forest.fit(good, box.min(0), box.max(0))
-        bins = _scored(known, forest, ("quality",)).groupBy(F.floor(F.col("anomaly") * 500).alias("bin")).agg(F.sum(F.expr("int(quality = 1)")).alias("g"), F.sum(F.expr("int(quality <> 1)")).alias("b")).collect()  # at most 501 rows
-        cut = threshold_from([(r.bin / 500, r.g, r.b) for r in bins], max_false_reject)
+        rows = _scored(known.where(~seen), forest, ("quality",)).groupBy(F.floor(F.col("anomaly") * 500).alias("bin")).agg(F.sum(F.expr("int(quality = 1)")).alias("g"), F.sum(F.expr("int(quality <> 1)")).alias("b")).collect()  # at most 501 rows
+        bins = [(r.bin / 500, r.g, r.b) for r in rows]
+        cut = threshold_from(bins, max_false_reject)
+    caught, wrong = shares(bins, cut)
     scored = _scored(counts, forest, carry) if forest.grown else counts.withColumn("anomaly", F.lit(0.0))
     fits = F.lit(True) if cut is None else F.floor(F.col("anomaly") * 500) / 500 < F.lit(cut)
-    return scored.withColumn("base_failed", failed).withColumn("anomaly_cut", F.lit(cut).cast("double")).withColumn("kept", ~F.col("base_failed") & fits).select("doc_id", *carry, *BASE, "base_failed", "anomaly", "anomaly_cut", "kept")
+    told = {"anomaly_cut": cut, "caught_share": caught, "false_share": wrong}
+    scored = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits)
+    return scored.select("doc_id", *carry, *BASE, "base_failed", "anomaly", *(F.lit(v).cast("double").alias(k) for k, v in told.items()), "kept")

@@ -65,6 +65,40 @@ def test_anomalies_score_above_the_rest_and_runs_agree():
     assert (forest.score(x) == same.score(x)).all()
 
 
+def walk(tree, x):
+    """One row down one tree, one node at a time."""
+    feature, cut, child, depth = tree
+    at = 0
+    while feature[at] >= 0:
+        at = child[at][1 if x[feature[at]] >= cut[at] else 0]
+    return depth[at]
+
+
+def test_scores_equal_a_plain_walk_down_fixed_trees():
+    tree = (np.array([0, -1, 1, -1, -1]), np.array([0.5, 0, 0.25, 0, 0]), np.array([[1, 2], [1, 1], [3, 4], [3, 3], [4, 4]]), np.array([0, 1.0, 0, 2.0, 3.5]))
+    forest = quality.IsolationForest(psi=4, grown=[tree])
+    c4 = 2 * (np.log(3) + 0.5772156649015329) - 2 * 3 / 4
+    x = np.array([[0.4, 0.9], [0.5, 0.2], [0.9, 0.25]])
+    assert np.allclose(forest.score(x), [2 ** (-d / c4) for d in (1.0, 2.0, 3.5)], atol=1e-12)
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 5))
+    forest = quality.IsolationForest(trees=9, rows=64).fit(x[:200], np.zeros(5), np.ones(5))
+    c = 2 * (np.log(63) + 0.5772156649015329) - 2 * 63 / 64
+    assert np.allclose(forest.score(x), [2 ** (-np.mean([walk(t, row) for t in forest.grown]) / c) for row in x], atol=1e-12)
+
+
+def test_verdicts_equal_a_plain_application_of_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = entry.op1_quality_rules(spark, sf).collect()
+    cut = rows[0].anomaly_cut
+    assert cut is not None and all((r.anomaly_cut, r.caught_share, r.false_share) == (cut, rows[0].caught_share, rows[0].false_share) for r in rows)
+    assert rows[0].caught_share > 0.8 and rows[0].false_share <= 0.005
+    for r in rows:
+        n, _, _, _, repeats = plain(docs[r.doc_id])
+        assert r.kept == (n >= 20 and 100 * repeats <= 30 * n and np.floor(r.anomaly * 500) / 500 < cut)
+
+
 def test_threshold_bounds_false_rejects():
     bins = [(0.9, 0, 10), (0.8, 1, 5), (0.7, 50, 5), (0.3, 949, 0)]
     assert quality.threshold_from(bins, 0.005) == 0.8
