@@ -1,5 +1,7 @@
 from zlib import crc32
 
+import xxhash
+import zstandard
 from locusforge.llm import entry, langid
 from tests.llm import brute
 
@@ -33,3 +35,56 @@ def test_edges(spark):
     assert langid.identify_language(empty).count() == 0
     nothing = brute.docs(spark, texts).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r.lang_pred for r in langid.identify_language(nothing).collect()} == {"und"}
+
+
+def plain_learn(rows, sample_rows, size):
+    """(lang, text) rows -> {lang: dictionary}, by whole lists."""
+    out = {}
+    for lang in {k for k, _ in rows}:
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+        texts = {t: signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for k, t in rows if k == lang}
+        first = sorted(texts, key=lambda t: (texts[t] % (1 << 30), texts[t]))[:sample_rows]
+        raws = [langid.letters(t) for t in first]
+        parts, whole = {(xxhash.xxh64_intdigest(p), p) for r in raws for p in (r[i : i + 1024] for i in range(0, len(r), 1024))}, []
+        for _, p in sorted(parts):
+            if sum(map(len, whole)) < size:
+                whole.append(p)
+        out[lang] = b"\n".join(whole)[:size]
+    return out
+
+
+def test_learning_and_predicting_equal_a_plain_version(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text is not None]
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang, 1, "x") for r in rows], "doc_id long, text string, lang string, h int, u string")
+    known = [(r.lang, r.text) for r in rows if r.lang is not None and crc32(str(r.doc_id).encode()) % 4 != 2]
+    want = plain_learn(known, 40, 30_000)
+    got = langid.learn(docs, sample_rows=40, dictionary_bytes=30_000)
+    assert dict(got) == want
+    counts = [sum(k == lang for k, _ in known) for lang, _ in got]
+    assert counts == sorted(counts, reverse=True)
+    tool = langid.Classifier(got)
+    for r in rows[:150]:
+        raw = langid.letters(r.text)
+        sizes = {}
+        for lang, data in got:
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False)
+            sizes[lang] = sum(len(packer.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+        lang, score = tool.predict(r.text)
+        if not raw:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        best, second = sorted(sizes.values())[:2]
+        assert sizes[lang] == best and lang == next(k for k, _ in got if sizes[k] == best) and abs(score - (1 - best / second)) < 1e-12
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}", f"l{i // 20 if i < 100 else i}") for i in range(160)], "doc_id long, text string, lang string")
+    got = langid.learn(docs, languages=5, sample_rows=3)
+    assert sorted(k for k, _ in got) == [f"l{i}" for i in range(5)]
+
+
+def test_ties_go_to_the_language_with_more_rows(spark):
+    rows = [(4 * i + j, "same words here", lang) for i, lang in enumerate(["b", "a", "b", "a", "b", "c"]) for j in range(4)]
+    assert {r.lang_pred for r in langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()} == {"b"}
