@@ -1,17 +1,21 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against windows of training words.
 
 Words of documents and items are hashed; a window whose hash is in the set is held against the words themselves, and
-confirmed windows mark their words. Items with fewer words than a window are windows of their own length. The set is
-cut into blocks of a bounded size, each broadcast by itself; documents are read once and held against a block at a
-time, so that a larger benchmark takes longer but no more memory of a worker.
+confirmed windows mark their words. Items with fewer words than a window are windows of their own length. Tasks build the set in
+blocks of a bounded size. One block is broadcast; more of them lie in the shared folder, where a worker holds the documents of
+some 64 MB against one block at a time, so that a larger benchmark takes longer but no more memory.
 
 Edge cases: null and empty texts have no words; items without words or without an id are left out; items that
-repeat are found together; repeated documents get equal rows; other columns are left alone.
+repeat are found together; an item of any length is dealt over blocks; ties don't arise; repeated documents get equal rows; other
+columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,7 @@ from . import textcore as T
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000  # windows of a block: some 40 MB with their words
+HELD_BYTES = 64 << 20  # of documents that several blocks are read for
 
 
 class Block:
@@ -70,19 +75,53 @@ def scan(data: np.ndarray, off: np.ndarray, blocks: list[Block], n: int = WINDOW
     return np.diff(w.ptr), hit, items, w
 
 
-def _blocks(benchmark: DataFrame, n: int) -> list:
-    """Broadcast blocks of the benchmark's items; the driver holds one block at a time."""
-    context, out, some, size = benchmark.sparkSession.sparkContext, [], [], 0
+def parts(item: str, text: bytes, n: int, most: int) -> Iterator[tuple[str, bytes, int]]:
+    """(item, text, windows) of an item, in parts that share n - 1 words and have all its windows."""
+    data = np.frombuffer(text, np.uint8)
+    w = T.words(T.LOWERED[data], np.array([0, len(text)], np.int64), T.ALNUM)
+    count = max(1, len(w.start) - n + 1) if len(w.start) else 0
+    for i in range(0, count, most):
+        last = min(len(w.start), i + min(most, count - i) + n - 1)
+        yield item, text[w.start[i] : w.end[last - 1]], min(most, count - i)
+
+
+def _blocks(benchmark: DataFrame, n: int) -> list[str]:
+    """Paths of the blocks that the benchmark's items make."""
+    spark = benchmark.sparkSession
+    folder, most = shared.scratch(spark, "benchmark"), BLOCK_WINDOWS
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), shared.text_bytes()).distinct()
-    for r in rows.toLocalIterator():
-        some.append((r.item, bytes(r.text)))
-        size += 1 + len(r.text) // 6
-        if size >= BLOCK_WINDOWS:
-            out.append(context.broadcast(Block(some, n)))
-            some, size = [], 0
-    if some:
-        out.append(context.broadcast(Block(some, n)))
-    return out
+    size = rows.agg(F.sum(1 + F.octet_length("text") / 6)).first()[0] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
+
+        def store() -> pa.RecordBatch:
+            fs, root = shared.local_path(folder)
+            fs.create_dir(root, recursive=True)
+            name = f"{uuid.uuid4().hex}.block"
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                out.write(pickle.dumps(Block(some, n)))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        for batch in batches:
+            for item, text in zip(batch.column("item"), batch.column("text"), strict=True):
+                for name, part, windows in parts(item.as_py(), text.as_py(), n, most):
+                    some.append((name, part))
+                    held += windows
+                    if held >= most:
+                        yield store()
+                        some, held = [], 0
+        if some:
+            yield store()
+
+    found = rows.repartition(max(1, math.ceil(size / most))).mapInArrow(build, "name string").collect()  # one row a block
+    return [f"{folder}/{r.name}" for r in found]
+
+
+def load_block(path: str) -> Block:
+    fs, name = shared.local_path(path)
+    with fs.open_input_file(name) as source:
+        return pickle.loads(source.read())
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -90,35 +129,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
     spark = docs.sparkSession
     shared.prepare(spark)
     blocks = _blocks(benchmark, n)
+    alone = spark.sparkContext.broadcast(load_block(blocks[0])) if len(blocks) == 1 else None  # BLOCK_WINDOWS at most, or little more
     keys = ["doc_id", *carry]
     fields = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
+    def against(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        marks: list[tuple[np.ndarray, list[set[str]]] | None] = [None] * len(held)
+        for path in blocks or [None]:
+            block = [] if path is None else [alone.value if alone else load_block(path)]
+            for i, (_, data, off) in enumerate(held):
+                _, now, got, _ = scan(data, off, block, n)
+                hit, items = marks[i] or (now, got)
+                marks[i] = hit | now, [x | y for x, y in zip(items, got, strict=True)]
+        for (rows, data, off), (hit, items) in zip(held, marks, strict=True):
+            w = T.words(data, off, T.ALNUM)
+            n_words = np.diff(w.ptr)
+            n_hit = T.sums(hit, w.ptr)
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            cols = [*(rows.column(k) for k in keys), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
+            names = [*keys, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+            if spans:
+                edges = []
+                for i in range(len(off) - 1):
+                    a, z = w.ptr[i], w.ptr[i + 1]
+                    at = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:z].view(np.int8), [0]])))
+                    edges.append([{"start": int(w.start[a + s] - off[i]), "end": int(w.end[a + e - 1] - off[i])} for s, e in zip(at[::2], at[1::2], strict=True)])
+                cols.append(pa.array(edges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+                names.append("hits")
+            yield pa.RecordBatch.from_arrays(cols, names)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            parts = [(rows, T.LOWERED[data], off) for rows, data, off in shared.steps(batch, "text")]
-            marks: list[tuple[np.ndarray, list[set[str]]] | None] = [None] * len(parts)
-            for b in blocks or [None]:
-                block = [] if b is None else [b.value if len(blocks) == 1 else b.load_from_path(b._path)]  # one of several isn't kept
-                for i, (_, data, off) in enumerate(parts):
-                    _, now, got, _ = scan(data, off, block, n)
-                    hit, items = marks[i] or (now, got)
-                    marks[i] = hit | now, [x | y for x, y in zip(items, got, strict=True)]
-            for (rows, data, off), (hit, items) in zip(parts, marks, strict=True):
-                w = T.words(data, off, T.ALNUM)
-                n_words = np.diff(w.ptr)
-                n_hit = T.sums(hit, w.ptr)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                cols = [*(rows.column(k) for k in keys), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)]
-                names = [*keys, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                if spans:
-                    edges = []
-                    for i in range(len(off) - 1):
-                        a, z = w.ptr[i], w.ptr[i + 1]
-                        at = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:z].view(np.int8), [0]])))
-                        edges.append([{"start": int(w.start[a + s] - off[i]), "end": int(w.end[a + e - 1] - off[i])} for s, e in zip(at[::2], at[1::2], strict=True)])
-                    cols.append(pa.array(edges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-                    names.append("hits")
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for rows, data, off in shared.steps(batch, "text"):
+                held.append((rows, T.LOWERED[data], off))
+                size += len(data)
+                if len(blocks) < 2 or size >= HELD_BYTES:
+                    yield from against(held)
+                    held, size = [], 0
+        yield from against(held)
 
     schema = f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     if spans:

@@ -62,3 +62,23 @@ def test_empty_tables(spark):
     clean = decontam.find_contamination(brute.docs(spark, TEXTS), bench(spark, ITEMS).limit(0)).collect()
     assert len(clean) == len(TEXTS) and not any(r.contaminated for r in clean)
     assert clean[2].n_words == 13
+
+
+def test_parts_of_an_item_have_all_its_windows():
+    text = " ".join(f"W{i}," for i in range(57)).encode()
+    words = [f"w{i}" for i in range(57)]
+    for most in (1, 5, 48, 1000):
+        got = [tuple(WORD.findall(p.decode().lower())) for _, p, _ in decontam.parts("x", text, 10, most)]
+        assert [g[i : i + 10] for g in got for i in range(len(g) - 9)] == [tuple(words[i : i + 10]) for i in range(48)]
+    assert [p for _, p, n in decontam.parts("x", b"!a b!", 10, 3)] == [b"a b"] and not list(decontam.parts("x", b"--", 10, 3))
+
+
+def test_long_items_and_clashing_names(spark, monkeypatch):
+    long = " ".join(f"v{i % 977}" for i in range(3000))
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 300)
+    monkeypatch.setattr(decontam, "HELD_BYTES", 1000)
+    items, texts = [*ITEMS, (77, long)], [*TEXTS, "x " + long + " y", *[P] * 20]
+    docs = brute.docs(spark, texts).selectExpr("*", "1 as n_words", "'a' as item_id", "true as hits", "'b' as item")
+    got = {r.doc_id: tuple(r)[1:] for r in decontam.find_contamination(docs, bench(spark, items).selectExpr("*", "3 as item")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain(t, items), t and t[:60]
