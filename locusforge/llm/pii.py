@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust their score. Columns only.
 
 Kinds of the base rule are email, ip, card (16 to 19 digits, Luhn) and phone. Beyond it come iban (mod-97) and
-ssn (no checksum, so that words nearby have to speak for it); either is reported from a score of 0.7.
+ssn (no checksum, so that words nearby have to speak for it); either is reported from a score of 0.7. An account number is
+as long as its country has it, so that words that follow aren't part of it.
 
 Edge cases: null and empty texts have no spans; runs of any length are matched without recursion (possessive
 quantifiers); repeated rows get equal results; other columns are left alone.
@@ -21,7 +22,15 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+# Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+IBAN = "(?:" + "|".join(f"(?:{'|'.join(c for c, k in IBAN_LENGTHS.items() if k == n)})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values()))) + ")"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 #: Characters that must not stand next to a match of these.
 BESIDE = {"iban": "^[A-Za-z0-9]$", "ssn": "^[0-9-]$"}
@@ -82,7 +91,7 @@ def spans_of(text: Column, context: bool = True) -> dict[str, Column]:
         "ip": S.kept(S.matches(text, IP), "ip", lambda x: x.rlike(OCTETS), score("ip", 0.6)),
         "card": S.kept(S.matches(text, CARD), "card", lambda x: n(x).between(16, 19) & luhn(digits(x)), score("card", 0.8)),
         "phone": S.kept(S.matches(text, PHONE, "+"), "phone", lambda x: n(x).between(8, 15), score("phone", 0.6)),
-        "iban": S.kept(apart("iban", IBAN), "iban", mod97, score("iban", 0.8), 0.7 if context else 0),
+        "iban": S.kept(apart("iban", "(?=[A-Z]{2}[0-9]{2})" + IBAN), "iban", mod97, score("iban", 0.8), 0.7 if context else 0),
         "ssn": S.kept(apart("ssn", SSN, "-"), "ssn", None, score("ssn", 0.6), 0.7),
     }
 

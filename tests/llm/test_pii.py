@@ -17,19 +17,19 @@ def test_base_spans_equal_plain_matching(spark):
 
 
 def test_checksums_and_context_decide_on_more_kinds(spark):
-    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82WEST12345698765433", "ssn 078-05-1120", "part 078-05-1120", "DE89370400440532013000"]
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32.", "GB82WEST12345698765433", "ssn 078-05-1120", "part 078-05-1120", "DE89370400440532013000", "DE89370400440532013000 BIC COBADEFFXXX", "GB82 WEST 1234 5698 7654 32 UK 5", "XX82 WEST 1234 5698 7654 32"]
     got = [r.spans for r in pii.pii_report(brute.docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got == ["iban:5:32", "", "ssn:4:15", "", "iban:0:22"]
+    assert got == ["iban:5:32", "", "ssn:4:15", "", "iban:0:22", "iban:0:22", "iban:0:27", ""]
     scores = [r.pii[0].score for r in pii.find_pii(brute.docs(spark, [texts[0], texts[4]])).orderBy("doc_id").collect()]
     assert scores == [1.0, 0.8]
 
 
 def test_redaction_replaces_spans_and_keeps_columns(spark):
-    d = brute.docs(spark, ["é mail a@b.com, ip 10.0.0.1!", None, "clean"]).withColumn("pii", F.lit("clash"))
+    d = brute.docs(spark, ["é mail a@b.com, ip 10.0.0.1!", None, "clean"]).withColumn("pii", F.lit("clash")).withColumn("LF_spans", F.lit("too"))
     out = pii.redact_pii(d)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "pii"]
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "pii", "LF_spans"]
     rows = out.orderBy("doc_id").collect()
-    assert {r.pii for r in rows} == {"clash"}
+    assert {(r.pii, r.LF_spans) for r in rows} == {("clash", "too")}
     assert [r.text for r in rows] == ["é mail <EMAIL>, ip <IP>!", None, "clean"]
     assert rows[0].n_chars == len(rows[0].text)
     again = pii.pii_report(d)  # a column of that name in the input doesn't get in the way
