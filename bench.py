@@ -29,14 +29,13 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from locusforge.plans import queries as catalogue
-    from locusforge.plans import view
+    from locusforge.plans import catalogue, queries, view
 
     began = time.time()
     n = view.prepared(spark, sf_dir).count()  # the study is ingested, checked and written once
     for name in ("store", "exact", "exact2"):
-        catalogue._store(spark, sf_dir, name, shift=name == "exact2", **({} if name == "store" else {"profile": "exact"}))
-    catalogue._numbered(spark, sf_dir).count()
+        queries._store(spark, sf_dir, name, shift=name == "exact2", **({} if name == "store" else {"profile": "exact"}))
+    queries._numbered(spark, sf_dir).count()
     setup, times = time.time() - began, {}
     for name in HEADLINE:
         best = None

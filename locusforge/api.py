@@ -37,8 +37,11 @@ def preflight(spark: SparkSession, source: str | DataFrame, **options) -> Import
     return import_sumstats(spark, source, check=True, **options)
 
 
-def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_build: str = "GRCh38", build: str = "GRCh38", qc_mode: str = "compact", strict: bool = False, row_policy: str | None = None, allow_p_to_se: bool = False, **options) -> store.Store:
-    """Import, check, and write a store. qc_mode `none` trusts canonical columns and drops only what has no identity."""
+def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_build: str = "GRCh38", build: str = "GRCh38", qc_mode: str = "compact", strict: bool = False, row_policy: str | None = None, allow_p_to_se: bool = False, environ: dict[str, str] | None = None, **options) -> store.Store:
+    """Import, check, and write a store. qc_mode `none` trusts canonical columns and drops only what has no identity.
+
+    panel: a DataFrame, a path, or a name (core, hm3, common, tag; name@sha256:<hex> pins its digest); environ has the paths of names.
+    """
     if normalize_build(input_build) != normalize_build(build):
         raise ValueError("input and store have to be of one build; lift over first")
     if qc_mode not in ("compact", "none"):
@@ -60,6 +63,9 @@ def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_b
         meta = {"qc": {"mode": "compact", **report.__dict__}, "routes": found.routes}
     if qc_mode == "compact":
         qc.assert_values(rows)
+    meta |= {"source": {"input": source if isinstance(source, str) else "DataFrame", "columns": frame.columns, "build": normalize_build(input_build)}, "tasks": spark.sparkContext.defaultParallelism}
+    if isinstance(options.get("panel"), str):
+        options["panel"], meta["panel"] = panel.named(spark, options["panel"], build, environ)
     return store.write_store(qc.canonicalize(rows, build), path, build=build, meta=meta, **options)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import builds, identity
@@ -26,41 +26,45 @@ def canonical_reference(df: DataFrame, snv_only: bool = False) -> DataFrame:
 def align(df: DataFrame, reference: DataFrame, strand: bool = True, palindromic: str = "drop", frequency_qc: str = "none", tolerance: float = 0.1) -> DataFrame:
     """Each row with status, path, flipped and frequency_status; effect statistics turned where alleles are.
 
-    The candidate keys of a row meet the reference in one equi-join, and are folded back by ordinal. A target that several
-    rows reach makes all of them duplicates.
+    The alleles of the reference are gathered by place, so that a row meets them in one join, and its candidate pairs are
+    looked up among them. A target that several rows reach makes all of them duplicates; they share its place, so that the
+    join's partitioning serves that count as well. Rows without a place get one of their own there.
     """
     if palindromic not in ("drop", "allow", "frequency") or frequency_qc not in ("none", "report", "drop", "error"):
         raise ValueError("unknown policy")
-    effect, other = F.upper("effect_allele"), F.upper("other_allele")
-    pairs = [("direct", other, effect), ("reverse", effect, other)]
-    if strand:
-        pairs += [("complement", identity.reverse_complement(other), identity.reverse_complement(effect)), ("complement_reverse", identity.reverse_complement(effect), identity.reverse_complement(other))]
     tuned(df)
+    effect, other = F.upper("effect_allele"), F.upper("other_allele")
+    place = {"_c": F.coalesce(identity.normalize_chromosome(F.col("chromosome")), F.concat(F.lit("row "), F.col("ordinal").cast("string"))), "_at": F.coalesce(F.col("base_pair_location").cast("long"), -1 - F.col("ordinal"))}
+    alleles = {"_e": effect, "_o": other, "_re": identity.reverse_complement(effect), "_ro": identity.reverse_complement(other)}
     good = F.coalesce(effect.rlike("^[ACGTN]+$") & other.rlike("^[ACGTN]+$"), F.lit(False))
-    options = F.array(*(F.struct(F.lit(i).alias("rank"), ref.alias("ref"), alt.alias("alt")) for i, (_, ref, alt) in enumerate(pairs)))
-    keyed = df.select("ordinal", identity.normalize_chromosome(F.col("chromosome")).alias("c"), F.col("base_pair_location").cast("long").alias("at"), (F.col("effect_allele_frequency")).alias("eaf"), identity.is_palindromic(effect, other).alias("pal"), F.explode(options).alias("o")).where(good)
-    ref = reference.select("chromosome", "base_pair_location", "reference_allele", "alternate_allele", "ref_eaf", "rsids")
-    met = keyed.join(ref, (keyed["c"] == ref["chromosome"]) & (keyed["at"] == ref["base_pair_location"]) & (keyed["o.ref"] == ref["reference_allele"]) & (keyed["o.alt"] == ref["alternate_allele"]))
-    hit = F.struct(F.col("o.rank").alias("rank"), F.col("chromosome").alias("r_chromosome"), F.col("base_pair_location").alias("r_position"), F.col("reference_allele").alias("r_reference"), F.col("alternate_allele").alias("r_alternate"), F.col("ref_eaf").alias("r_eaf"), F.col("rsids").alias("r_rsids"))
-    found = met.groupBy("ordinal").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_list(hit)).alias("hits"), F.first("pal").alias("pal"), F.first("eaf").alias("eaf"))  # four hits a row at most
-    first = F.col("hits")[0]
+    asked = df.withColumns(place | alleles | {"_good": good})
+    gathered = reference.groupBy(F.col("chromosome").alias("_rc"), F.col("base_pair_location").cast("long").alias("_rat")).agg(F.collect_list(F.struct(F.col("reference_allele").alias("ref"), F.col("alternate_allele").alias("alt"), "ref_eaf", "rsids")).alias("_alleles"))
+    met = asked.join(gathered, (F.col("_c") == F.col("_rc")) & (F.col("_at") == F.col("_rat")), "left")
+    pairs = [("_o", "_e"), ("_e", "_o"), ("_ro", "_re"), ("_re", "_ro")][: 4 if strand else 2]
+
+    def hit(rank: int, ref: str, alt: str) -> Column:
+        same = F.filter("_alleles", lambda a: (a["ref"] == F.col(ref)) & (a["alt"] == F.col(alt)))
+        return F.transform(same, lambda a: F.struct(F.lit(rank).alias("rank"), F.col("_rc").alias("r_chromosome"), F.col("_rat").alias("r_position"), a["ref"].alias("r_reference"), a["alt"].alias("r_alternate"), a["ref_eaf"].alias("r_eaf"), a["rsids"].alias("r_rsids")))
+
+    found = F.concat(*(hit(i, ref, alt) for i, (ref, alt) in enumerate(pairs)))
+    out = met.withColumn("hits", F.when(F.col("_good") & F.col("_alleles").isNotNull(), found))
+    first = F.get("hits", F.lit(0))
     pick, clear = first, F.lit(False)
+    pal, eaf = identity.is_palindromic(F.col("_e"), F.col("_o")), F.col("effect_allele_frequency")
     if palindromic == "allow":
-        clear = F.col("pal")
+        clear = pal
     elif palindromic == "frequency":
-        near = F.abs(F.col("eaf") - first["r_eaf"])
-        far = F.abs((1 - F.col("eaf")) - first["r_eaf"])
+        near, far = F.abs(eaf - first["r_eaf"]), F.abs((1 - eaf) - first["r_eaf"])
         turned = F.get(F.filter("hits", lambda h: h["rank"].isin(1, 3)), F.lit(0))
         straight = F.get(F.filter("hits", lambda h: h["rank"].isin(0, 2)), F.lit(0))
-        clear = F.col("pal") & F.coalesce(near != far, F.lit(False))
+        clear = pal & F.coalesce(near != far, F.lit(False))
         pick = F.when(clear & (far < near), F.coalesce(turned, first)).when(clear, F.coalesce(straight, first)).otherwise(first)
-    chosen = found.select("ordinal", "candidates", pick.alias("hit"), F.coalesce((F.col("candidates") > 1) & ~clear, F.lit(False)).alias("ambiguous"))
-    out = df.withColumn("_good", good).join(chosen, "ordinal", "left")
+    out = out.withColumn("candidates", F.when(F.size("hits") > 0, F.size("hits").cast("long")))
+    out = out.withColumn("ambiguous", F.coalesce((F.col("candidates") > 1) & ~clear, F.lit(False))).withColumn("hit", pick)
     status = F.when(F.col("ambiguous"), "ambiguous").when(~F.col("_good"), "incompatible").when(F.col("hit").isNull(), "unmatched").otherwise("aligned")
-    out = out.withColumn("status", status)
-    target = F.when(F.col("status") == "aligned", F.struct("hit.r_chromosome", "hit.r_position", "hit.r_reference", "hit.r_alternate").cast("string")).otherwise(F.concat(F.lit("row "), F.col("ordinal").cast("string")))
-    copies = F.count("*").over(Window.partitionBy("_target"))
-    out = out.withColumn("_target", target).withColumn("status", F.when((F.col("status") == "aligned") & (copies > 1), "duplicate").otherwise(F.col("status")))
+    out = out.withColumn("status", status).withColumn("_ref", F.col("hit.r_reference")).withColumn("_alt", F.col("hit.r_alternate"))
+    copies = F.count("*").over(Window.partitionBy("_c", "_at", "_ref", "_alt", "status"))
+    out = out.withColumn("_copies", copies).withColumn("status", F.when((F.col("status") == "aligned") & (F.col("_copies") > 1), "duplicate").otherwise(F.col("status")))
     aligned = F.col("status") == "aligned"
     flip = aligned & F.col("hit.rank").isin(1, 3)
     out = out.withColumn("flipped", F.coalesce(flip, F.lit(False))).withColumn("path", F.when(aligned, F.element_at(F.array(*map(F.lit, PATHS)), F.col("hit.rank") + 1)))
@@ -77,7 +81,7 @@ def align(df: DataFrame, reference: DataFrame, strand: bool = True, palindromic:
     named = {"chromosome": "r_chromosome", "base_pair_location": "r_position", "reference_allele": "r_reference", "other_allele": "r_reference", "alternate_allele": "r_alternate", "effect_allele": "r_alternate"}
     changed |= {c: F.when(aligned, F.col(f"hit.{r}")).otherwise(F.col(c)) for c, r in named.items() if c in df.columns}
     changed["reference_rsids"] = F.when(aligned, F.col("hit.r_rsids"))
-    return out.withColumns(changed).drop("_good", "_target", "hit", "ambiguous")
+    return out.withColumns(changed).drop(*place, *alleles, "_good", "_rc", "_rat", "_alleles", "_ref", "_alt", "_copies", "hits", "hit", "ambiguous")
 
 
 def status_counts(aligned: DataFrame) -> DataFrame:
@@ -127,21 +131,33 @@ def resolve_rsids(df: DataFrame, reference: DataFrame) -> DataFrame:
     names = reference.select(F.explode(F.split("rsids", ";")).alias("k"), F.struct("chromosome", "base_pair_location", "reference_allele", "alternate_allele").alias("v")).where("k <> ''")
     table = names.groupBy(F.lower("k").alias("k")).agg(F.count_distinct("v").alias("variants"), F.min("v").alias("v"))
     lacking = F.col("chromosome").isNull() | F.col("base_pair_location").isNull()
-    asked = df.withColumn("_k", F.when(lacking & F.col("rsid").rlike("^(?i)rs"), F.lower("rsid")))
-    out = asked.join(table, asked["_k"] == table["k"], "left")
-    status = F.when(~lacking, "coordinate").when(F.col("_k").isNull(), "not_attempted").when(F.col("variants").isNull(), "unresolved").when(F.col("variants") > 1, "ambiguous").otherwise("resolved")
-    out = out.withColumn("rsid_status", status)
+    asked = df.withColumn("_k", F.when(lacking & F.col("rsid").rlike("^(?i)rs"), F.lower("rsid"))).withColumn("base_pair_location", F.col("base_pair_location").cast("long"))
+    rest = asked.where("_k is null").withColumn("rsid_status", F.when(lacking, "not_attempted").otherwise("coordinate")).drop("_k")
+    # only rows that ask for a name move
+    out = asked.where("_k is not null").join(table, F.col("_k") == F.col("k"), "left")
+    out = out.withColumn("rsid_status", F.when(F.col("variants").isNull(), "unresolved").when(F.col("variants") > 1, "ambiguous").otherwise("resolved"))
     hit = F.col("rsid_status") == "resolved"
-    return out.withColumns({"chromosome": F.when(hit, F.col("v.chromosome")).otherwise(F.col("chromosome")), "base_pair_location": F.when(hit, F.col("v.base_pair_location")).otherwise(F.col("base_pair_location").cast("long"))}).drop("_k", "k", "variants", "v")
+    out = out.withColumns({"chromosome": F.when(hit, F.col("v.chromosome")).otherwise(F.col("chromosome")), "base_pair_location": F.when(hit, F.col("v.base_pair_location")).otherwise(F.col("base_pair_location"))})
+    return out.drop("_k", "k", "variants", "v").unionByName(rest)
 
 
 def reference_query(reference: DataFrame, region: tuple[str, int, int] | None = None, rsids: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Rows of the dictionary by region, rsID or key; filters reach the scan."""
+    """Rows of a dictionary by region, rsID or key. Regions and the places of keys reach the scan; rsIDs of a stored reference have an index (sources/reference.py)."""
     out = reference
     if region is not None:
         out = out.where((F.col("chromosome") == region[0]) & F.col("base_pair_location").between(region[1], region[2]))
     if rsids is not None:
         out = out.where(F.arrays_overlap(F.split("rsids", ";"), F.array(*map(F.lit, rsids))))
     if keys is not None:
-        out = out.where(identity.variant_key(F.col("chromosome"), F.col("base_pair_location"), F.col("reference_allele"), F.col("alternate_allele")).isin(keys))
+        out = at_keys(out, keys)
     return out
+
+
+def at_keys(reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is listed: chromosome and position narrow the scan, alleles decide."""
+    parts = [k.split(":") for k in keys]
+    if any(len(p) != 4 or not p[1].isdigit() for p in parts):
+        raise ValueError("a key looks like 1:100:A:G")
+    near = F.col("chromosome").isin(sorted({p[0] for p in parts})) & F.col("base_pair_location").isin(sorted({int(p[1]) for p in parts}))
+    exact = identity.variant_key(F.col("chromosome"), F.col("base_pair_location"), F.col("reference_allele"), F.col("alternate_allele")).isin(keys)
+    return reference.where(near & exact)

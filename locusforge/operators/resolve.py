@@ -77,6 +77,16 @@ def _differs(a: Column, b: Column) -> Column:
     return ~(same | close)
 
 
+def conflict_counts(df: DataFrame) -> DataFrame:
+    """(preferred, other, n): rows in which two source columns of one meaning differ; one pass."""
+    pairs = [(found[0], other) for found in alias_hits(df.columns).values() for other in found[1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "preferred string, other string, n long")
+    counts = [F.sum(F.coalesce(_differs(F.col(f"`{a}`"), F.col(f"`{b}`")), F.lit(False)).cast("long")) for a, b in pairs]
+    rows = F.array(*(F.struct(F.lit(a).alias("preferred"), F.lit(b).alias("other"), F.coalesce(n, F.lit(0)).alias("n")) for (a, b), n in zip(pairs, counts, strict=True)))
+    return df.agg(rows.alias("r")).select(F.inline("r"))
+
+
 @dataclass
 class Resolved:
     data: DataFrame

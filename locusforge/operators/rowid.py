@@ -39,14 +39,28 @@ def with_blocks(df: DataFrame, row_id: str = "row_id", size: int = VALUE_BLOCK)
     return df.withColumn("block_id", F.floor(F.col(row_id) / size).cast("int"))
 
 
-def position_gaps(df: DataFrame, position: str = "global_position", row_id: str = "row_id", block: int = 131_072) -> DataFrame:
-    """The step from the row before in a block of rows; 0 at its start. Positions that fall raise."""
-    w = Window.partitionBy(F.floor(F.col(row_id) / block)).orderBy(row_id)
+def position_gaps(df: DataFrame, position: str = "global_position", row_id: str = "row_id", block: int = 131_072, within: tuple[str, ...] = ()) -> DataFrame:
+    """The step from the row before in a block of rows, and in the columns of `within`; 0 at its start. Positions that fall raise."""
+    w = Window.partitionBy(*within, F.floor(F.col(row_id) / block)).orderBy(row_id)
     step = F.col(position) - F.lag(position).over(w)
     return df.withColumn("gap", F.when(step < 0, F.raise_error(F.lit("positions have to ascend"))).otherwise(F.coalesce(step, F.lit(0))).cast("long"))
 
 
-def positions_from_gaps(df: DataFrame, first: str = "first_position", row_id: str = "row_id", block: int = 131_072) -> DataFrame:
+def positions_from_gaps(df: DataFrame, first: str = "first_position", row_id: str = "row_id", block: int = 131_072, within: tuple[str, ...] = ()) -> DataFrame:
     """Positions again, from the gaps and the first position of each block."""
-    w = Window.partitionBy(F.floor(F.col(row_id) / block)).orderBy(row_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*within, F.floor(F.col(row_id) / block)).orderBy(row_id).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("restored_position", F.col(first) + F.sum("gap").over(w))
+
+
+def falling_positions(df: DataFrame, position: str = "global_position", row_id: str = "row_id", block: int = 131_072) -> DataFrame:
+    """Rows whose position is less than that of the row before, blocks' edges included.
+
+    A window a block finds those within; the first row of a block is held against the last of the one before, one row a block.
+    """
+    number = F.floor(F.col(row_id) / block).alias("_block")
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(position).alias("at"), number)
+    before = F.lag("at").over(Window.partitionBy("_block").orderBy("row_id"))
+    inside = rows.withColumn("_before", before).where(F.col("at") < F.col("_before")).select("row_id", "at")
+    ends = rows.groupBy("_block").agg(F.min(F.struct("row_id", "at")).alias("first"), F.max(F.struct("row_id", "at")).alias("last"))
+    edge = ends.select("_block", "first").join(ends.select((F.col("_block") + 1).alias("_block"), "last"), "_block").where(F.col("first.at") < F.col("last.at"))
+    return inside.union(edge.select("first.row_id", "first.at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity, stats
+from ..functions import builds, identity, stats
 from ..functions.session import tuned
 
 #: Rows of a key or region table that may be broadcast, by count; larger ones are shuffled.
@@ -118,16 +118,29 @@ def with_panel_mask(df: DataFrame, panel: DataFrame, build: str = "GRCh38") -> D
     return df.join(sized(keys), "variant_code", "left").withColumn("in_panel", F.coalesce("in_panel", F.lit(False)))
 
 
+def spread(key: Column) -> Column:
+    """A key for a left join: rows without one get values of their own, which nothing equals, and don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
+
+
+def ordered_regions(regions: DataFrame) -> DataFrame:
+    """Regions with their rank in genome order; they are few, and dealt by range."""
+    from .rowid import with_row_id
+
+    order = F.array_position(F.array(*map(F.lit, builds.CHROMOSOMES)), F.col("chromosome")).cast("int")
+    return with_row_id(regions.withColumn("_order", order), ["_order", "start"], "rank", first=1).drop("_order")
+
+
 def id_membership(df: DataFrame, panel: DataFrame, build: str = "GRCh38") -> DataFrame:
     """Rows whose id is in the panel and agrees with a valid identity, or whose own key is in it."""
     ids = panel.select(identity.normalize_key(F.col("variant_id")).alias("pid")).where("pid <> ''").distinct()
     key = F.when(F.col("variant_code").isNotNull(), identity.variant_key(F.col("chromosome"), F.col("base_pair_location"), F.col("other_allele"), F.col("effect_allele")))
-    keyed = df.withColumn("_key", key).withColumn("_id", identity.normalize_key(F.col("variant_id")))
+    keyed = df.withColumn("_key", key).withColumn("_id", spread(identity.normalize_key(F.col("variant_id")))).withColumn("_at", spread(F.col("_key")))
     ids = sized(ids)
     by_id = keyed.join(ids.withColumn("_by_id", F.lit(True)), keyed["_id"] == ids["pid"], "left").drop("pid")
-    both = by_id.join(ids.withColumn("_by_key", F.lit(True)), by_id["_key"] == ids["pid"], "left").drop("pid")
+    both = by_id.join(ids.withColumn("_by_key", F.lit(True)), by_id["_at"] == ids["pid"], "left").drop("pid")
     agrees = F.col("_by_id").isNotNull() & (F.col("_key").isNull() | (F.col("_key") == F.col("_id")))
-    return both.where(agrees | F.col("_by_key").isNotNull()).drop("_key", "_id", "_by_id", "_by_key")
+    return both.where(agrees | F.col("_by_key").isNotNull()).drop("_key", "_at", "_id", "_by_id", "_by_key")
 
 
 def legacy_membership(df: DataFrame, panel: DataFrame) -> DataFrame:
@@ -142,7 +155,7 @@ def legacy_membership(df: DataFrame, panel: DataFrame) -> DataFrame:
     if "rsid" in df.columns:
         sides.insert(1, ("_b", norm("rsid"), rs))
     for name, key, keys in sides:
-        out = out.withColumn(name, key).join(sized(keys.select(F.col("k").alias(name), F.lit(True).alias(f"{name}_hit"))), name, "left")
+        out = out.withColumn(name, spread(key)).join(sized(keys.select(F.col("k").alias(name), F.lit(True).alias(f"{name}_hit"))), name, "left")
         found = found | F.col(f"{name}_hit").isNotNull()
     return out.where(found).drop(*(c for name, _, _ in sides for c in (name, f"{name}_hit")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import builds, stats
+from ..functions import builds
 from .view import VIEW_SQL
 
 _B = "GRCh38"
@@ -29,7 +29,27 @@ def finite(x: str) -> str:
     return f"coalesce(isfinite({x}), false)"
 
 
-P_FROM_Z = stats.two_sided_p_sql("z")
+_Y = "(abs({z}) * 0.7071067811865476e0)"
+
+
+def tail(z: str) -> str:
+    """erfc(abs(z) / sqrt(2)), by other means than the engine's: the power series, and the trapezoid rule with its pole's share taken off."""
+    y = _Y.format(z=z)
+    series = "1e0"
+    for n in range(45, 0, -1):
+        series = f"(1e0 + 2e0 * {y} * {y} / {2 * n + 1}e0 * {series})"
+    near = f"1e0 - 1.1283791670955126e0 * exp(-{y} * {y}) * {y} * {series}"
+    total = f"list_sum([exp(-0.0625e0 * i * i) / (0.0625e0 * i * i + {y} * {y}) FOR i IN range(1, 40)])"
+    far = f"0.25e0 * {y} * exp(-{y} * {y}) / 3.141592653589793e0 * (1e0 / ({y} * {y}) + 2e0 * {total}) - 2e0 / (exp(8e0 * 3.141592653589793e0 * {y}) - 1e0)"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {y} < 1.5e0 THEN {near} ELSE {far} END"
+
+
+P_FROM_Z = tail("z")
+#: The quantile of p / 2: a rational start, then Newton's steps on the tail. Columns x0, x1, x2 and x of k.
+QUANTILE = f"""x0 AS (SELECT *, t - (2.515517e0 + 0.802853e0 * t + 0.010328e0 * t * t) / (1e0 + 1.432788e0 * t + 0.189269e0 * t * t + 0.001308e0 * t * t * t) AS x0 FROM (SELECT *, sqrt(-2e0 * ln(p_value / 2e0)) AS t FROM k WHERE p_value > 0 AND p_value < 1 AND beta <> 0)),
+x1 AS (SELECT *, x0 + ({tail('x0')} - p_value) / (2e0 * exp(-x0 * x0 / 2e0) * 0.3989422804014327e0) AS x1 FROM x0),
+x2 AS (SELECT *, x1 + ({tail('x1')} - p_value) / (2e0 * exp(-x1 * x1 / 2e0) * 0.3989422804014327e0) AS x2 FROM x1),
+x AS (SELECT *, x2 + ({tail('x2')} - p_value) / (2e0 * exp(-x2 * x2 / 2e0) * 0.3989422804014327e0) AS x FROM x2)"""
 
 N = """n AS (
   SELECT *, CASE bare WHEN '23' THEN 'X' WHEN '24' THEN 'Y' WHEN 'M' THEN 'MT' WHEN '25' THEN 'MT' WHEN '26' THEN 'MT' ELSE bare END AS c,
@@ -116,6 +136,17 @@ D = f"""d0 AS (SELECT *, CASE WHEN flags & 1 <> 0 THEN CAST(CAST(z AS FLOAT) AS
                      CASE WHEN flags & 2 <> 0 THEN power(2e0, CAST(CAST(log2(standard_error) AS FLOAT) AS DOUBLE)) WHEN se_code < 62 THEN power(2e0, -1e0 + (se_code + 0.5e0) * 0.03225806451612903e0 + se_centre - {half_log(grid('eaf_code'))}) END AS dse FROM e),
 d AS (SELECT *, dz * dse AS dbeta FROM d0)"""
 
+L = f"""l0 AS (SELECT *, CAST(floor(row_id / 65536) AS INTEGER) AS block_id, CAST(CASE WHEN z IS NULL THEN 510 WHEN z >= -3.5 AND z <= 3.5 THEN least(floor((z + 3.5e0) / 0.013725490196078431e0), 509) ELSE 511 END AS INTEGER) AS z_code,
+  CAST(CASE WHEN effect_allele_frequency BETWEEN 0 AND 1 THEN round_even(161.70142218136185e0 * asin(sqrt(least(1e0 - 1e-12, greatest(1e-12, effect_allele_frequency)))), 0) ELSE 255 END AS INTEGER) AS eaf_code FROM rows_),
+l1 AS (SELECT *, CASE WHEN eaf_code = 255 THEN 0.5e0 ELSE {grid('eaf_code', 254)} END AS f FROM l0),
+l2 AS (SELECT *, {half_log('f')} AS v, CASE WHEN standard_error > 0 THEN log2(standard_error) + {half_log('f')} END AS residual FROM l1),
+l3 AS (SELECT block_id, coalesce(median(residual), 0e0) AS se_centre FROM l2 GROUP BY block_id),
+leg AS (SELECT l2.*, l3.se_centre, residual - se_centre AS delta, CAST(CASE WHEN residual IS NULL THEN 62 ELSE least(61, greatest(0, floor((residual - se_centre + 1e0) / 2e0 * 62e0 - 0.5e0))) END AS INTEGER) AS se_code FROM l2 JOIN l3 USING (block_id)),
+ld AS (SELECT *, CASE WHEN z_code = 511 THEN z WHEN z_code < 510 THEN -3.5e0 + (z_code + 0.5e0) * 0.013725490196078431e0 END AS dz, CASE WHEN effect_allele_frequency BETWEEN 0 AND 1 THEN f ELSE effect_allele_frequency END AS deaf,
+  CASE WHEN se_code < 62 THEN power(2e0, -1e0 + (se_code + 1e0) * 0.03225806451612903e0 + se_centre - v) END AS dse FROM leg)"""
+Q8 = f"""c0 AS (SELECT *, CASE WHEN dz IS NULL THEN 254 WHEN dz >= -3.5 AND dz <= 3.5 THEN least(floor((dz + 3.5e0) / 0.027559055118110236e0), 253) ELSE 255 END AS z8, CASE WHEN deaf BETWEEN 0 AND 1 THEN round_even(161.70142218136185e0 * asin(sqrt(least(1e0 - 1e-12, greatest(1e-12, deaf)))), 0) ELSE 255 END AS eaf8 FROM d),
+c AS (SELECT *, CASE WHEN z8 = 255 THEN CAST(CAST(dz AS FLOAT) AS DOUBLE) WHEN z8 < 254 THEN -3.5e0 + (z8 + 0.5e0) * 0.027559055118110236e0 END AS cz, CASE WHEN eaf8 = 255 THEN CAST(CAST(deaf AS FLOAT) AS DOUBLE) ELSE {grid('eaf8', 254)} END AS ceaf FROM c0)"""
+
 
 #: What is added before a value is cut to its decimals. Short decimals often lie on ties of one half, but none on ties of this.
 NUDGE = 0.49871
@@ -149,3 +180,4 @@ BASE = (N, Q, K)
 RESOLVED = (*BASE, P)
 ENCODED = (*RESOLVED, ROWS, E)
 DECODED = (*ENCODED, D)
+LEGACY = (*RESOLVED, ROWS, L)

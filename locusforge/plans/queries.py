@@ -168,12 +168,12 @@ def z_consistency_conflicts(spark, sf_dir):
     return n.agg(F.count("*").alias("compared"), F.sum(off.cast("bigint")).alias("conflicts"))
 
 
-@query(O.sql(f"SELECT ordinal, round({O.P_FROM_Z}, 12) AS p FROM k", *O.BASE))
+@query(O.sql(f"SELECT ordinal, round(-log10({O.P_FROM_Z}), 8) AS minus_log10_p FROM k", *O.BASE))
 def p_from_z(spark, sf_dir):
-    return view.prepared(spark, sf_dir).select("ordinal", r(stats.two_sided_p("z"), 12).alias("p"))
+    return view.prepared(spark, sf_dir).select("ordinal", stats.two_sided_p("z").alias("p")).select("ordinal", r(-F.log10("p"), 8).alias("minus_log10_p"))
 
 
-@query(O.sql(f"SELECT ordinal, round(abs(beta) / abs({stats.quantile_sql('(p_value / 2e0)')}), 9) AS se FROM k WHERE p_value > 0 AND p_value < 1 AND beta <> 0", *O.BASE))
+@query(O.sql("SELECT ordinal, round(abs(beta) / x, 9) AS se FROM x", *O.BASE, O.QUANTILE))
 def se_from_p(spark, sf_dir):
     k = view.prepared(spark, sf_dir).where("p_value > 0 and p_value < 1 and beta <> 0")
     return k.select("ordinal", r(stats.se_from_p("beta", "p_value")).alias("se"))
@@ -256,14 +256,9 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode(_numbered(spark, sf_dir))
 
 
-def _edge(x: str) -> str:
-    """Rows whose bin is the same for any rounding of a last digit."""
-    return f"abs({x} - round({x})) > 1e-9"
-
-
-@query(O.sql(f"SELECT ordinal, z_code FROM e WHERE z IS NULL OR {_edge('(z + 3.5e0) / 0.013725490196078431e0')}", *O.ENCODED))
+@query(O.sql("SELECT ordinal, z_code FROM e", *O.ENCODED))
 def encode_z_codes(spark, sf_dir):
-    return _encoded(spark, sf_dir).where(F.expr(f"z is null or {_edge('(z + 3.5e0) / 0.013725490196078431e0')}")).select("ordinal", F.col("z_code").cast("int").alias("z_code"))
+    return _encoded(spark, sf_dir).select("ordinal", F.col("z_code").cast("int").alias("z_code"))
 
 
 @query(O.sql("SELECT ordinal, eaf_code FROM e", *O.ENCODED))
@@ -271,15 +266,9 @@ def encode_eaf_codes(spark, sf_dir):
     return _encoded(spark, sf_dir).select("ordinal", F.col("eaf_code").cast("int").alias("eaf_code"))
 
 
-_SE_PLACE = "(delta + 1e0) / 0.03225806451612903e0"
-
-
-@query(O.sql(f"SELECT ordinal, se_code, flags FROM e WHERE residual IS NULL OR {_edge(_SE_PLACE)}", *O.ENCODED))
+@query(O.sql("SELECT ordinal, se_code, flags FROM e", *O.ENCODED))
 def encode_se_codes(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
-    grid = codec.decode_eaf(F.col("eaf_code"))
-    e = e.withColumn("delta", F.when(codec.se_valid(F.col("standard_error")), F.log2("standard_error") + codec.half_log_variance(grid) - F.col("se_centre")))
-    return e.where(F.expr(f"delta is null or {_edge(_SE_PLACE)}")).select("ordinal", F.col("se_code").cast("int").alias("se_code"), F.coalesce(F.col("exc_flags").cast("int"), F.lit(0)).alias("flags"))
+    return _encoded(spark, sf_dir).select("ordinal", F.col("se_code").cast("int").alias("se_code"), F.coalesce(F.col("exc_flags").cast("int"), F.lit(0)).alias("flags"))
 
 
 @query(O.sql("SELECT block_id, round(se_centre, 9) AS se_centre FROM e2", *O.ENCODED))
@@ -289,14 +278,10 @@ def block_centres(spark, sf_dir):
     return codec.block_centres(codec.with_residual(with_blocks(_numbered(spark, sf_dir)))).select("block_id", r("se_centre").alias("se_centre"))
 
 
-_LEGACY = f"""SELECT ordinal, CAST(CASE WHEN z IS NULL THEN 510 WHEN z >= -3.5 AND z <= 3.5 THEN least(floor((z + 3.5e0) / 0.013725490196078431e0), 509) ELSE 511 END AS INTEGER) AS z_code,
-CAST(CASE WHEN effect_allele_frequency BETWEEN 0 AND 1 THEN round_even(161.70142218136185e0 * asin(sqrt(least(1e0 - 1e-12, greatest(1e-12, effect_allele_frequency)))), 0) ELSE 255 END AS INTEGER) AS eaf_code FROM rows_ WHERE z IS NULL OR {_edge('(z + 3.5e0) / 0.013725490196078431e0')}"""
-
-
-@query(O.sql(_LEGACY, *O.RESOLVED, O.ROWS))
+@query(O.sql("SELECT ordinal, z_code, eaf_code, se_code FROM leg", *O.LEGACY))
 def legacy_encode_codes(spark, sf_dir):
-    e = codec.with_residual(_numbered(spark, sf_dir), codec.LEGACY).where(F.expr(f"z is null or {_edge('(z + 3.5e0) / 0.013725490196078431e0')}"))
-    return e.select("ordinal", F.col("z_code").cast("int").alias("z_code"), F.col("eaf_code").cast("int").alias("eaf_code"))
+    e = codec.encode(_numbered(spark, sf_dir), codec.LEGACY)
+    return e.select("ordinal", *(F.col(c).cast("int").alias(c) for c in ("z_code", "eaf_code", "se_code")))
 
 
 @query(O.sql("SELECT count(*) AS n_rows, round(max(abs(dz - z)), 6) AS z_error, round(max(abs(deaf - effect_allele_frequency)), 6) AS eaf_error, round(max(abs(dse / standard_error - 1e0)), 6) AS se_error FROM d", *O.DECODED))
@@ -347,7 +332,7 @@ def position_gaps_roundtrip(spark, sf_dir):
 
 def _store(spark: SparkSession, sf_dir: str, name: str = "store", shift: bool = False, **options) -> store.Store:
     """Written once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"{name}-store")
+    key = (spark.sparkContext.applicationId, sf_dir, view.stamp(spark, sf_dir), name)
     if key not in _STORES:
         k = view.prepared(spark, sf_dir)
         if shift:
@@ -357,7 +342,7 @@ def _store(spark: SparkSession, sf_dir: str, name: str = "store", shift: bool =
     return _STORES[key]
 
 
-_STORES: dict[tuple[str, str, str], store.Store] = {}
+_STORES: dict[tuple[str, str, str, str], store.Store] = {}
 _READ = "chromosome, base_pair_location, reference_allele, alternate_allele, round(dz, 6) AS z, round(dse, 6) AS standard_error, round(deaf, 6) AS effect_allele_frequency, round(dbeta, 6) AS beta"
 
 
@@ -425,34 +410,31 @@ def store_parquet_exact(spark, sf_dir):
     return _shown(_store(spark, sf_dir, "exact", profile="exact").read(columns=["row_id", "z", "standard_error", "effect_allele_frequency"], ordered=False), 9)
 
 
-@query("SELECT true AS valid")
+@query(O.sql("SELECT true AS valid, count(*) AS n_rows, min(row_id) AS first_row, max(row_id) AS last_row, count(DISTINCT floor(row_id / 65536)) AS n_blocks, min(variant_code) AS first_variant, max(variant_code) AS last_variant FROM rows_", *O.RESOLVED, O.ROWS))
 def store_validate(spark, sf_dir):
+    """What validation found in the stored files, after their digests."""
     found = _store(spark, sf_dir).validate()
-    return spark.createDataFrame([(found["valid"],)], "valid boolean")
+    names = ["valid", "n_rows", "first_row", "last_row", "n_blocks", "first_variant", "last_variant"]
+    return spark.createDataFrame([tuple(found[k] for k in names)], "valid boolean, " + ", ".join(f"{k} long" for k in names[1:]))
 
 
-@query(O.sql("SELECT count(*) AS n_rows, true AS z_close, true AS eaf_close FROM rows_", *O.RESOLVED, O.ROWS))
+@query(O.sql("SELECT row_id, variant_code, round(cz, 6) AS z, round(ceaf, 6) AS effect_allele_frequency FROM c", *O.DECODED, O.Q8))
 def q8_cache_read(spark, sf_dir):
+    """The values of the cache at eight bits."""
     s = _store(spark, sf_dir)
-    cached = s.build_cache().select("chromosome", "base_pair_location", "effect_allele", "other_allele", F.col("z").alias("z8"), F.col("effect_allele_frequency").alias("eaf8"))
-    both = cached.join(s.read(ordered=False), ["chromosome", "base_pair_location", "effect_allele", "other_allele"])
-    near = lambda a, b, t: F.max(F.coalesce(F.abs(F.col(a) - F.col(b)), F.lit(0.0))) <= t
-    return both.agg(F.count("*").alias("n_rows"), near("z", "z8", 0.03).alias("z_close"), near("effect_allele_frequency", "eaf8", 0.01).alias("eaf_close"))
+    s.build_cache()
+    return _shown(s.read(columns=["row_id", "variant_code", "z", "effect_allele_frequency"], ordered=False, use_cache=True))
 
 
 # text sources
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.prepared(spark, sf_dir).where("ordinal < 1000000000")
-
-
-@query(O.sql("SELECT chromosome, base_pair_location, reference_allele, alternate_allele, round(beta, 9) AS beta, round(standard_error, 9) AS standard_error, round(z, 9) AS z FROM k WHERE ordinal < 1000000000", *O.BASE))
+@query(O.sql("SELECT chromosome, base_pair_location, reference_allele, alternate_allele, round(beta, 9) AS beta, round(standard_error, 9) AS standard_error, round(z, 9) AS z FROM k", *O.BASE))
 def ingest_tsv_gz(spark, sf_dir):
     from ..api import import_sumstats
 
     path = scratch.new_path(spark, "tsv")
-    k = _texts(spark, sf_dir)
+    k = view.prepared(spark, sf_dir)
     k.coalesce(1).select(F.col("chromosome").alias("CHR"), F.col("base_pair_location").alias("GENPOS"), F.col("reference_allele").alias("REF"), F.col("alternate_allele").alias("ALT"), F.col("effect_allele").alias("ALLELE1"), F.col("other_allele").alias("ALLELE0"), F.col("beta").alias("BETA"), F.col("standard_error").alias("SE"), F.col("effect_allele_frequency").alias("A1FREQ")).write.option("sep", "\t").option("header", "true").option("compression", "gzip").csv(path)
     from ..sources.files import listing
 
@@ -461,23 +443,23 @@ def ingest_tsv_gz(spark, sf_dir):
     return _shown(data.select("chromosome", F.col("base_pair_location").cast("bigint").alias("base_pair_location"), "reference_allele", "alternate_allele", "beta", "standard_error", "z"), 9)
 
 
-@query(O.sql("SELECT chromosome, base_pair_location, reference_allele, alternate_allele, round(beta, 9) AS beta, round(standard_error, 9) AS standard_error, round(effect_allele_frequency, 9) AS effect_allele_frequency FROM k WHERE ordinal < 1000000000", *O.BASE))
+@query(O.sql("SELECT chromosome, base_pair_location, reference_allele, alternate_allele, round(beta, 9) AS beta, round(standard_error, 9) AS standard_error, round(effect_allele_frequency, 9) AS effect_allele_frequency FROM k", *O.BASE))
 def ingest_vcf(spark, sf_dir):
     from ..operators.resolve import resolve
     from ..sources.delimited import vcf_fields
 
     names = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "trait"]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    rows = _texts(spark, sf_dir).select("ordinal", F.col("chromosome").alias("#CHROM"), F.col("base_pair_location").cast("string").alias("POS"), F.lit(".").alias("ID"), F.col("reference_allele").alias("REF"), F.col("alternate_allele").alias("ALT"), F.lit(".").alias("QUAL"), F.lit("PASS").alias("FILTER"), F.concat(F.lit("AF=0.5;SE="), text("standard_error")).alias("INFO"), F.lit("ES:SE:AF").alias("FORMAT"), F.concat_ws(":", text("beta"), text("standard_error"), text("effect_allele_frequency")).alias("trait"))
+    rows = view.prepared(spark, sf_dir).select("ordinal", F.col("chromosome").alias("#CHROM"), F.col("base_pair_location").cast("string").alias("POS"), F.lit(".").alias("ID"), F.col("reference_allele").alias("REF"), F.col("alternate_allele").alias("ALT"), F.lit(".").alias("QUAL"), F.lit("PASS").alias("FILTER"), F.concat(F.lit("AF=0.5;SE="), text("standard_error")).alias("INFO"), F.lit("ES:SE:AF").alias("FORMAT"), F.concat_ws(":", text("beta"), text("standard_error"), text("effect_allele_frequency")).alias("trait"))
     data = resolve(vcf_fields(rows, names)).data
     return _shown(data.select("chromosome", "base_pair_location", "reference_allele", "alternate_allele", "beta", "standard_error", "effect_allele_frequency"), 9)
 
 
 # harmonisation
 
-_REF = """ref AS (SELECT chromosome, base_pair_location, reference_allele AS ref, alternate_allele AS alt, 'rs' || CAST(ordinal % 1000 AS VARCHAR) AS rsids, effect_allele_frequency AS ref_eaf FROM k WHERE ordinal % 3 <> 0 AND ordinal < 1000000000)"""
+_REF = """ref AS (SELECT chromosome, base_pair_location, reference_allele AS ref, alternate_allele AS alt, 'rs' || CAST(ordinal % 1000 AS VARCHAR) AS rsids, effect_allele_frequency AS ref_eaf FROM k WHERE ordinal % 3 <> 0)"""
 _STUDY = """st AS (SELECT ordinal, chromosome, base_pair_location, CASE ordinal % 4 WHEN 0 THEN alternate_allele WHEN 1 THEN reference_allele WHEN 2 THEN translate(alternate_allele, 'ACGT', 'TGCA') ELSE translate(reference_allele, 'ACGT', 'TGCA') END AS effect_allele,
-  CASE ordinal % 4 WHEN 0 THEN reference_allele WHEN 1 THEN alternate_allele WHEN 2 THEN translate(reference_allele, 'ACGT', 'TGCA') ELSE translate(alternate_allele, 'ACGT', 'TGCA') END AS other_allele, beta, z, effect_allele_frequency FROM k WHERE ordinal < 1000000000)"""
+  CASE ordinal % 4 WHEN 0 THEN reference_allele WHEN 1 THEN alternate_allele WHEN 2 THEN translate(reference_allele, 'ACGT', 'TGCA') ELSE translate(alternate_allele, 'ACGT', 'TGCA') END AS other_allele, beta, z, effect_allele_frequency FROM k)"""
 _CAND = """ca AS (SELECT st.*, t.rank, CASE t.rank WHEN 0 THEN other_allele WHEN 1 THEN effect_allele WHEN 2 THEN translate(other_allele, 'ACGT', 'TGCA') ELSE translate(effect_allele, 'ACGT', 'TGCA') END AS cref,
   CASE t.rank WHEN 0 THEN effect_allele WHEN 1 THEN other_allele WHEN 2 THEN translate(effect_allele, 'ACGT', 'TGCA') ELSE translate(other_allele, 'ACGT', 'TGCA') END AS calt FROM st, (VALUES (0), (1), (2), (3)) t(rank)),
 me AS (SELECT ca.ordinal, ca.rank, ref.ref, ref.alt FROM ca JOIN ref ON ca.chromosome = ref.chromosome AND ca.base_pair_location = ref.base_pair_location AND ca.cref = ref.ref AND ca.calt = ref.alt),
@@ -488,12 +470,12 @@ _HARM = (*O.BASE, _REF, _STUDY, _CAND)
 
 
 def _reference(spark, sf_dir):
-    k = view.prepared(spark, sf_dir).where("ordinal % 3 <> 0 and ordinal < 1000000000")
+    k = view.prepared(spark, sf_dir).where("ordinal % 3 <> 0")
     return k.select("chromosome", "base_pair_location", "reference_allele", "alternate_allele", F.concat(F.lit("rs"), (F.col("ordinal") % 1000).cast("string")).alias("rsids"), F.col("effect_allele_frequency").alias("ref_eaf"))
 
 
 def _unaligned(spark, sf_dir):
-    k = view.prepared(spark, sf_dir).where("ordinal < 1000000000")
+    k = view.prepared(spark, sf_dir)
     ref, alt = F.col("reference_allele"), F.col("alternate_allele")
     comp = identity.complement
     kind = F.col("ordinal") % 4
@@ -518,9 +500,9 @@ def harmonise_status_counts(spark, sf_dir):
     return harmonise.status_counts(harmonise.align(_unaligned(spark, sf_dir), _reference(spark, sf_dir)))
 
 
-@query(O.sql("SELECT a.ordinal, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS rsid_status, CASE WHEN t.n = 1 THEN t.chromosome END AS chromosome, CASE WHEN t.n = 1 THEN t.at END AS base_pair_location FROM (SELECT ordinal, 'rs' || CAST(ordinal % 1500 AS VARCHAR) AS rsid FROM k WHERE ordinal % 10 = 0) a LEFT JOIN (SELECT rsids, count(DISTINCT (chromosome, base_pair_location, ref, alt)) AS n, min(chromosome) AS chromosome, min(base_pair_location) AS at FROM ref GROUP BY 1) t ON a.rsid = t.rsids", *O.BASE, _REF))
+@query(O.sql("SELECT a.ordinal, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS rsid_status, CASE WHEN t.n = 1 THEN t.chromosome END AS chromosome, CASE WHEN t.n = 1 THEN t.at END AS base_pair_location FROM (SELECT ordinal, 'rs' || CAST(ordinal % 1500 AS VARCHAR) AS rsid FROM k) a LEFT JOIN (SELECT rsids, count(DISTINCT (chromosome, base_pair_location, ref, alt)) AS n, min(chromosome) AS chromosome, min(base_pair_location) AS at FROM ref GROUP BY 1) t ON a.rsid = t.rsids", *O.BASE, _REF))
 def rsid_lookup(spark, sf_dir):
-    k = view.prepared(spark, sf_dir).where("ordinal % 10 = 0").select("ordinal", F.concat(F.lit("rs"), (F.col("ordinal") % 1500).cast("string")).alias("rsid"), F.lit(None).cast("string").alias("chromosome"), F.lit(None).cast("bigint").alias("base_pair_location"))
+    k = view.prepared(spark, sf_dir).select("ordinal", F.concat(F.lit("rs"), (F.col("ordinal") % 1500).cast("string")).alias("rsid"), F.lit(None).cast("string").alias("chromosome"), F.lit(None).cast("bigint").alias("base_pair_location"))
     return harmonise.resolve_rsids(k, _reference(spark, sf_dir)).select("ordinal", "rsid_status", "chromosome", "base_pair_location")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import finite
 from ..operators import qc
 from ..operators.rowid import with_row_id
-from ..sources import scratch
+from ..sources import files, scratch
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -46,12 +46,17 @@ _ITEM = """SELECT {ordinal} AS ordinal, l_orderkey, l_linenumber, l_partkey, l_s
 #: For an engine that holds all rows in one place: rows numbered by one window.
 VIEW_SQL = "l AS (" + _ITEM.format(ordinal=f"CAST(row_number() OVER (ORDER BY {', '.join(ORDER)}) AS BIGINT)", source="lineitem") + ")," + _BODY
 
-_MADE: dict[tuple[str, str, str], DataFrame] = {}
+_MADE: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Changes when the table that the study is derived from does."""
+    return files.stamp(spark, f"{sf_dir}/lineitem.parquet")
 
 
 def _made(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Derived tables are written once a session and folder; queries start from them as from an ingested study."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Derived tables are written once a session, folder and state of its files; queries start from them as from an ingested study."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir), name)
     if key not in _MADE:
         _MADE[key] = scratch.materialize(build(), name)
     return _MADE[key]

@@ -26,6 +26,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p, fs = _hadoop(spark, path)
     fs.delete(p, True)
@@ -89,10 +94,9 @@ def listing(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
-def digests(spark: SparkSession, folder: str) -> list[dict]:
-    """Path, bytes and SHA-256 of each data file; files are hashed by tasks, a stretch at a time."""
-    files = listing(spark, folder)
-    if not files:
+def hashes(spark: SparkSession, places: list[str]) -> list[str]:
+    """SHA-256 of each file; files are hashed by tasks, a stretch at a time."""
+    if not places:
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +104,7 @@ def digests(spark: SparkSession, folder: str) -> list[dict]:
 
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                place = f"{folder.rstrip('/')}/{files[i][0]}"
-                local = fs.LocalFileSystem()
+                place, local = places[i], fs.LocalFileSystem()
                 where, at = (local, "/" + place[5:].lstrip("/")) if place.startswith("file:") else fs.FileSystem.from_uri(place) if "://" in place else (local, place)
                 h = hashlib.sha256()
                 with where.open_input_stream(at, compression=None) as f:
@@ -109,8 +112,25 @@ def digests(spark: SparkSession, folder: str) -> list[dict]:
                         h.update(chunk)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([h.hexdigest()])], ["i", "sha256"])
 
-    rows = spark.range(0, len(files), 1, min(len(files), 200)).mapInArrow(run, "i long, sha256 string").collect()  # one row a file
-    return [{"path": files[r.i][0], "bytes": files[r.i][1], "sha256": r.sha256} for r in sorted(rows)]
+    rows = spark.range(0, len(places), 1, min(len(places), 200)).mapInArrow(run, "i long, sha256 string").collect()  # one row a file
+    return [r.sha256 for r in sorted(rows)]
+
+
+def digests(spark: SparkSession, folder: str) -> list[dict]:
+    """Path, bytes and SHA-256 of each data file."""
+    files = listing(spark, folder)
+    found = hashes(spark, [f"{folder.rstrip('/')}/{name}" for name, _ in files])
+    return [{"path": name, "bytes": size, "sha256": h} for (name, size), h in zip(files, found, strict=True)]
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """A digest of names, sizes and times of what lies at a path."""
+    root, fs = _hadoop(spark, path)
+    found, out = fs.listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(json.dumps(sorted(out)).encode()).hexdigest()
 
 
 def payload_digest(entries: list[dict]) -> str:

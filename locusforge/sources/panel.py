@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +63,7 @@ def canonical(df: DataFrame, build: str = "GRCh38") -> DataFrame:
     k = identity.parse_key(F.col("variant_id")) if "variant_id" in df.columns else F.lit(None).cast("struct<chromosome:string,position:bigint,reference:string,alternate:string>")
     has = {"chromosome", "base_pair_location", "reference_allele", "alternate_allele"} <= set(df.columns)
     if has:
-        own = identity.variant_code(identity.normalize_chromosome(F.col("chromosome")), F.col("base_pair_location").cast("long"), F.upper("reference_allele"), F.upper("alternate_allele"), build)
+        own = identity.variant_code(identity.normalize_chromosome(F.col("chromosome")), F.col("base_pair_location").try_cast("long"), F.upper("reference_allele"), F.upper("alternate_allele"), build)
     else:
         own = F.lit(None).cast("long")
     by_id = identity.variant_code(k["chromosome"], k["position"], k["reference"], k["alternate"], build)
@@ -110,7 +108,7 @@ def read_any(spark: SparkSession, source: str | DataFrame, build: str = "GRCh38"
     base = re.sub(r"(?i)\.(gz|bz2|zst|bgz|xz)$", "", source)
     if base.endswith(".bim"):
         cols = F.split(F.regexp_replace(F.trim("value"), r"\s+", "\t"), "\t")
-        return canonical(delimited.lines(spark, source).where("trim(value) <> ''").select(cols[0].alias("chromosome"), cols[3].cast("long").alias("base_pair_location"), cols[5].alias("reference_allele"), cols[4].alias("alternate_allele")), build)
+        return canonical(delimited.lines(spark, source).where("trim(value) <> ''").select(cols[0].alias("chromosome"), cols[3].try_cast("long").alias("base_pair_location"), cols[5].alias("reference_allele"), cols[4].alias("alternate_allele")), build)
     if source.rstrip("/").endswith(".parquet"):
         return canonical(_named(spark.read.parquet(source)), build)
     shards = shard_paths(spark, source, chromosomes)
@@ -160,9 +158,22 @@ def resolve_name(request: str, environ: dict[str, str] | None = None) -> tuple[s
     return path, pin.lower() or environ.get(f"LOCUSFORGE_{key.upper()}_PANEL_SHA256")
 
 
-def verify_pin(path: str, pin: str | None) -> None:
-    """A panel file or the manifest of a panel folder has to have the pinned digest."""
-    if pin:
-        target = Path(path) / "manifest.json" if Path(path).is_dir() else Path(path)
-        if hashlib.sha256(target.read_bytes()).hexdigest() != pin.lower():
-            raise files.StoreError(f"{path} doesn't have the pinned digest")
+def verify_pin(spark: SparkSession, path: str, pin: str | None) -> str:
+    """The digest of a panel file, or of a panel folder's manifest; with a pin it has to be that."""
+    manifest = f"{path}/manifest.json"
+    found = files.hashes(spark, [manifest if files.exists(spark, manifest) else path])[0]
+    if pin and found != pin.lower():
+        raise files.StoreError(f"{path} doesn't have the pinned digest")
+    return found
+
+
+def named(spark: SparkSession, request: str, build: str = "GRCh38", environ: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
+    """(canonical panel, where it comes from) of a panel by name, or of a path that anything of read_any lies at."""
+    path, pin = (request, None) if "/" in request else resolve_name(request, environ)
+    if files.exists(spark, f"{path}/manifest.json") or not shard_paths(spark, path):
+        digest = verify_pin(spark, path, pin) if files.is_file(spark, path) or files.exists(spark, f"{path}/manifest.json") else None
+    else:
+        digest = None
+    if pin and digest is None:
+        raise files.StoreError(f"{path} is a folder of files, which a pin doesn't name")
+    return read_any(spark, path, build), {"panel": request, "path": path, "sha256": digest, "pinned": bool(pin)}

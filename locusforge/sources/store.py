@@ -132,7 +132,14 @@ class Store:
             raise StoreError("blocks overlap")
         if self.profile != "exact" and codec.bad_codes(table, PROFILES[self.profile]).limit(1).count():
             raise StoreError("codes lie out of their domains")
-        return {"valid": True, "n_rows": n}
+        blocks = spans.agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).first()
+        return {"valid": True, "n_rows": n, "first_row": total.low, "last_row": total.high, "n_blocks": blocks.n, "first_variant": blocks.a, "last_variant": blocks.z}
+
+    def regions(self) -> DataFrame:
+        """The windows that selection kept rows by: chromosome, start, end, seed_snps."""
+        if not self.manifest["selection"].get("regions"):
+            raise StoreError("the store wasn't selected by regions")
+        return self.spark.read.parquet(f"{self.path}/regions")
 
     def build_cache(self) -> DataFrame:
         """A second table at eight bits each for z, frequency and SE, beside the store."""
@@ -156,6 +163,12 @@ def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str
     if profile != "exact" and profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     staged = files.staging(spark, path, overwrite)
+    timings, at = {}, [began]
+
+    def lap(name: str) -> None:
+        now = time.time()
+        timings[f"{name}_s"], at[0] = round(now - at[0], 3), now
+
     chosen, regions = select.select_variants(df, selection, panel, select_threshold, padding, build)
     resolved = select.resolve_p(chosen)
     flag = codec.pvalue_flag(flag_threshold) if flag_threshold is not None else F.lit(None).cast("boolean")
@@ -164,8 +177,9 @@ def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str
     numbered = with_row_id(ready.select(*keep), ["variant_code"])
     twice = numbered.groupBy("variant_code").count().where("count > 1").limit(1).count()
     if twice:
-        raise StoreError("duplicate full REF/ALT identity keys")
+        raise StoreError("a variant occurs more than once")
     n = numbered.count()
+    lap("select_and_number")
     if not n:
         raise StoreError("no rows are left to store")
     if profile == "exact":
@@ -173,13 +187,15 @@ def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str
     else:
         out = codec.encode(numbered, PROFILES[profile]).select("chromosome", *CODES, *extras)
     _write(out, f"{staged}/values")
+    lap("encode_and_write")
     if regions is not None:
         regions.write.parquet(f"{staged}/regions")
+        lap("regions")
     manifest = {
         "format": FORMAT, "version": VERSION, "build": builds.normalize_build(build), "profile": profile, "n_rows": n, "extras": list(extras),
         "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema), "pvalue_flag_threshold": flag_threshold,
-        "selection": {"mode": selection, "threshold": select_threshold, "padding": padding}, "tolerances": codec.TOLERANCES, **(meta or {}),
-        "created_utc": datetime.now(UTC).isoformat(), "timings": {"write_s": round(time.time() - began, 3)},
+        "selection": {"mode": selection, "threshold": select_threshold, "padding": padding, "regions": regions is not None}, "tolerances": codec.TOLERANCES, **(meta or {}),
+        "created_utc": datetime.now(UTC).isoformat(), "timings": {**timings, "write_s": round(time.time() - began, 3)},
     }
     manifest = files.seal(spark, staged, manifest)
     files.commit(spark, staged, path)

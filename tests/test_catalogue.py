@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from locusforge.plans import queries as catalogue
+from locusforge.plans import catalogue
 
 TABLES = ["lineitem"]
 

@@ -105,10 +105,10 @@ def test_vcf(spark, tmp_path):
     assert (a.beta, a.standard_error, a.effect_allele_frequency, a.rsid) == (0.1, 0.2, 0.5, "rs1") and abs(a.p_value - 1e-3) < 1e-15
     assert abs(b.beta - 0.6931471805599453) < 1e-12 and (b.standard_error, b.p_value, b.effect_allele_frequency) == (0.3, 0.01, 0.4)
     p.write_bytes(gzip.compress(VCF.replace("\tG\t", "\tG,T\t").encode()))
-    with pytest.raises(Exception, match="multiallelic"):
+    with pytest.raises(Exception, match="several ALT"):
         api.import_sumstats(spark, str(p)).data.collect()
     p.write_bytes(gzip.compress(VCF.replace("\ttrait", "\ta\tb").encode()))
-    with pytest.raises(delimited.SourceError, match="exactly one"):
+    with pytest.raises(delimited.SourceError, match="one trait"):
         api.import_sumstats(spark, str(p))
 
 

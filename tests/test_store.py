@@ -126,7 +126,7 @@ def test_overwrite_duplicates_and_empty(spark, native):
     df = qc.canonicalize(fx.study(spark, 20))
     with pytest.raises(StoreError, match="exists"):
         store.write_store(df, native.path)
-    with pytest.raises(StoreError, match="duplicate"):
+    with pytest.raises(StoreError, match="more than once"):
         store.write_store(df.union(df), scratch.new_path(spark, "d"))
     with pytest.raises(StoreError, match="no rows"):
         store.write_store(df.limit(0), scratch.new_path(spark, "e"))
