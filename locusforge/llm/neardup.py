@@ -374,24 +374,28 @@ def similar(xs: list[np.ndarray], ys: list[np.ndarray], percent: int) -> bool:
     return False
 
 
+def _stars(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of `carry`, n_shingles, component_id, kept for each row."""
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError("doc_id has to be an integer")
     sketches = shared.materialize(_sketch(docs, carry), "sketches")
     digest = ["da", "db", "n_shingles"]
-    classes = shared.materialize(sketches.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node")), "classes")
-    keyed = sketches.where("n_shingles > 0").withColumn("node", F.col("doc_id"))
-    nodes = shared.materialize(keyed.join(classes, [*digest, "node"]).select("node", "n_shingles", "label").distinct(), "nodes")
+    # equal sets have equal labels
+    classes = shared.materialize(sketches.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("node"), F.min("label").alias("label")), "classes")
+    nodes = classes.where("node is not null").select("node", "n_shingles", "label")
     hot = _hot(nodes)
     links = _confirmed(docs, _pairs(nodes, hot, percent), percent)
     joined = shared.materialize(components(links), "joined")
-    links = links.union(_confirmed(docs, _pairs(nodes, hot, percent, joined), percent))
-    joined = shared.materialize(components(links), "joined")
+    links = _confirmed(docs, _pairs(nodes, hot, percent, joined), percent)
+    joined = shared.materialize(components(_stars(joined).union(links)), "joined")
     dense = _dense(nodes, joined)
     if dense.limit(1).count():
-        links = links.union(_confirmed(docs, _rare_pairs(docs, dense, percent), percent))
-        joined = shared.materialize(components(links), "joined")
+        links = _confirmed(docs, _rare_pairs(docs, dense, percent), percent)
+        joined = shared.materialize(components(_stars(joined).union(links)), "joined")
     named = classes.join(joined, "node", "left").select(*digest, F.coalesce("component", "node").alias("root"))
     out = sketches.select("doc_id", *carry, *digest).join(named, digest, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
