@@ -218,6 +218,17 @@ def read_package(source) -> Iterator[tuple[dict[str, str], dict[str, str], bytes
         i = j
 
 
+def find_records(source, page_id: object) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
+    """The records of a page, by its lines in the index and one range each."""
+    package, key, out = ZipReader(source), f"{urn(page_id)[1:-1]} ", []
+    for name in sorted(m for m in package.members if m.startswith("indexes/")):
+        for line in package.read(name).decode().splitlines():
+            if line.startswith(key):
+                e = json.loads(line.split(" ", 2)[2])
+                out.append(parse(package.range(package.start(package.members[e["filename"]]) + e["offset"], e["length"])))
+    return out
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload and, for all but the largest page_id of equal payloads of min_bytes, refers_to."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")

@@ -60,3 +60,11 @@ def test_edges(spark):
     assert tokencount.count_tokens(d, MODEL).count() == 3
     assert tokencount.count_tokens(d.limit(0), MODEL).count() == 0
     assert tokencount.count_tokens(d, MODEL, limit=1).where("over_limit").count() == 2
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    long = "some words to count " * 60_000
+    d = brute.docs(spark, [long, "a"]).selectExpr("*", "'a' as path", "1 as content", "2 as tokenizer", "3 as n_bytes")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.count_tokens(d, MODEL).collect()}
+    assert got == {0: (len(long), len(library.encode(long))), 1: (1, len(library.encode("a")))}

@@ -85,3 +85,19 @@ def test_damage_and_compressed_members_raise():
     rec = warczip.record(1, "u", b"abc", warczip.base32_sha1(b"abd"), None, "2024-01-01T00:00:00Z")
     with pytest.raises(ValueError, match="digest"):
         warczip.parse(rec)
+
+
+def test_records_are_found_by_page(monkeypatch):
+    monkeypatch.setattr(warczip, "MEMBER_BYTES", 2000)
+    raw = io.BytesIO(package())
+    (warc, http, payload), *rest = warczip.find_records(raw, 17)
+    assert warc["warc-record-id"] == "<urn:page:17>" and payload == b"text 17" * 17 and not rest and http["content-length"] == str(7 * 17)
+    assert warczip.find_records(raw, 1) and not warczip.find_records(raw, 1000)
+
+
+def test_long_payloads_and_clashing_names(spark):
+    long = "é" * 3_000_000
+    d = pages(spark, [(1, "u", long), (2, "u", long), (3, "u", "x")]).selectExpr("*", "1 as digest", "'p' as path", "2 as refers_to", "'q' as payload")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warczip.archive_report(d).collect()}
+    raw = long.encode()
+    assert got == {1: (len(raw), b32(raw), "revisit", 2), 2: (len(raw), b32(raw), "response", None), 3: (1, b32(b"x"), "response", None)}
