@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.builds import normalize_build
+from .functions.observe import Observer
 from .operators import qc, resolve
 from .sources import delimited, panel, store
 
@@ -50,6 +51,7 @@ def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_b
         raise ValueError("qc_mode none can't be strict")
     if strict and row_policy == "report":
         raise ValueError("strict and row_policy disagree")
+    watch = options.setdefault("observer", Observer())
     frame = delimited.read_input(spark, source)
     lacking = {"reference_allele", "alternate_allele", "effect_allele", "other_allele"} - set(resolve.alias_hits(frame.columns))
     if lacking:
@@ -59,7 +61,9 @@ def compress(spark: SparkSession, source: str | DataFrame, path: str, *, input_b
     else:
         policy = row_policy or ("error" if strict else "report")
         found = resolve.resolve(resolve.project(frame) if "extras" not in options else frame, policy, allow_p_to_se)
-        rows, report = qc.apply(found.data, policy, build=build)
+        with watch.phase("quality_control") as phase:
+            rows, report = qc.apply(found.data, policy, build=build)
+            phase["rows"] = report.input_rows
         meta = {"qc": {"mode": "compact", **report.__dict__}, "routes": found.routes}
     if qc_mode == "compact":
         qc.assert_values(rows)

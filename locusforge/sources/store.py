@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import builds, identity
+from ..functions.observe import Observer
 from ..operators import codec, select
 from ..operators.rowid import with_row_id
 from . import files
@@ -157,45 +158,40 @@ def _write(df: DataFrame, path: str) -> None:
     df.repartitionByRange("variant_code").sortWithinPartitions("chromosome", "variant_code").write.option("compression", "zstd").partitionBy("chromosome").parquet(path)
 
 
-def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str = "z9_eaf8_se6", flag_threshold: float | None = 5e-8, extras: tuple[str, ...] = (), selection: str = "full", panel: DataFrame | None = None, select_threshold: float = 1e-5, padding: int = 10_000, overwrite: bool = False, meta: dict | None = None) -> Store:
+def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str = "z9_eaf8_se6", flag_threshold: float | None = 5e-8, extras: tuple[str, ...] = (), selection: str = "full", panel: DataFrame | None = None, select_threshold: float = 1e-5, padding: int = 10_000, overwrite: bool = False, meta: dict | None = None, observer: Observer | None = None) -> Store:
     """Canonical rows with z, standard_error, effect_allele_frequency and p_value into a new store."""
     spark, began = df.sparkSession, time.time()
     if profile != "exact" and profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     staged = files.staging(spark, path, overwrite)
-    timings, at = {}, [began]
-
-    def lap(name: str) -> None:
-        now = time.time()
-        timings[f"{name}_s"], at[0] = round(now - at[0], 3), now
-
-    chosen, regions = select.select_variants(df, selection, panel, select_threshold, padding, build)
-    resolved = select.resolve_p(chosen)
-    flag = codec.pvalue_flag(flag_threshold) if flag_threshold is not None else F.lit(None).cast("boolean")
-    ready = resolved.withColumn("pvalue_flag", flag)
-    keep = ["chromosome", "base_pair_location", "global_position", "substitution", "variant_code", "z", "standard_error", "effect_allele_frequency", "pvalue_flag", *extras]
-    numbered = with_row_id(ready.select(*keep), ["variant_code"])
-    twice = numbered.groupBy("variant_code").count().where("count > 1").limit(1).count()
-    if twice:
-        raise StoreError("a variant occurs more than once")
-    n = numbered.count()
-    lap("select_and_number")
+    watch = observer or Observer()
+    with watch.phase("select_and_number") as found:
+        chosen, regions = select.select_variants(df, selection, panel, select_threshold, padding, build)
+        resolved = select.resolve_p(chosen)
+        flag = codec.pvalue_flag(flag_threshold) if flag_threshold is not None else F.lit(None).cast("boolean")
+        ready = resolved.withColumn("pvalue_flag", flag)
+        keep = ["chromosome", "base_pair_location", "global_position", "substitution", "variant_code", "z", "standard_error", "effect_allele_frequency", "pvalue_flag", *extras]
+        numbered = with_row_id(ready.select(*keep), ["variant_code"])
+        if numbered.groupBy("variant_code").count().where("count > 1").limit(1).count():
+            raise StoreError("a variant occurs more than once")
+        found["rows"] = n = numbered.count()
     if not n:
         raise StoreError("no rows are left to store")
-    if profile == "exact":
-        out = codec.with_blocks(numbered).select("chromosome", *EXACT, *extras)
-    else:
-        out = codec.encode(numbered, PROFILES[profile]).select("chromosome", *CODES, *extras)
-    _write(out, f"{staged}/values")
-    lap("encode_and_write")
+    with watch.phase("encode_and_write") as found:
+        if profile == "exact":
+            out = codec.with_blocks(numbered).select("chromosome", *EXACT, *extras)
+        else:
+            out = codec.encode(numbered, PROFILES[profile]).select("chromosome", *CODES, *extras)
+        _write(out, f"{staged}/values")
+        found["rows"] = n
     if regions is not None:
-        regions.write.parquet(f"{staged}/regions")
-        lap("regions")
+        with watch.phase("regions"):
+            regions.write.parquet(f"{staged}/regions")
     manifest = {
         "format": FORMAT, "version": VERSION, "build": builds.normalize_build(build), "profile": profile, "n_rows": n, "extras": list(extras),
         "schema": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema), "pvalue_flag_threshold": flag_threshold,
         "selection": {"mode": selection, "threshold": select_threshold, "padding": padding, "regions": regions is not None}, "tolerances": codec.TOLERANCES, **(meta or {}),
-        "created_utc": datetime.now(UTC).isoformat(), "timings": {**timings, "write_s": round(time.time() - began, 3)},
+        "created_utc": datetime.now(UTC).isoformat(), "timings": {**watch.summary(), "write_s": round(time.time() - began, 3)},
     }
     manifest = files.seal(spark, staged, manifest)
     files.commit(spark, staged, path)

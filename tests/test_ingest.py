@@ -116,3 +116,24 @@ def test_preflight_reports(spark):
     df = fx.study(spark, 20).drop("ordinal", "z")
     out = api.preflight(spark, df)
     assert out.report.accepted_rows == 20 and out.data.count() == 20
+
+
+def test_a_program_of_the_users_decompresses(spark, tmp_path, monkeypatch):
+    p = tmp_path / "x.tsv.gz"
+    p.write_bytes(gzip.compress(b"chr\tpos\n1\t5\n2\t6\n"))
+    monkeypatch.setenv("LOCUSFORGE_DECOMPRESSOR", "gzip")
+    assert [tuple(r)[1:] for r in delimited.read_delimited(spark, str(p)).orderBy("ordinal").collect()] == [("1", "5"), ("2", "6")]
+    monkeypatch.setenv("LOCUSFORGE_DECOMPRESSOR", "false")
+    with pytest.raises(delimited.SourceError, match="ended with"):
+        delimited.first_line(spark, str(p))
+
+
+def test_headers_far_down_and_joined_files(spark, tmp_path):
+    p = tmp_path / "far.tsv"
+    p.write_text("".join(f"## {i}\n" for i in range(20_000)) + "chr\tpos\n1\t5\n")
+    one = delimited.read_delimited(spark, str(p))
+    assert one.count() == 1
+    assert one.union(delimited.read_delimited(spark, str(p))).where("chr = 'chr'").count() == 0
+    v = tmp_path / "far.vcf"
+    v.write_text("##fileformat=VCFv4.2\n" + "".join(f"##x={i}\n" for i in range(20_000)) + "#CHROM\tPOS\tID\tREF\tALT\n1\t5\t.\tA\tG\n")
+    assert delimited.read_vcf(spark, str(v)).count() == 1
