@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The corpus is taken by step: the distinct pieces of a step's texts that no earlier step of the worker replayed (a bounded
+The corpus is taken by step: the distinct pieces of a step's texts that no earlier step of the task replayed (a bounded
 cache has those) are laid out in one array of tokens. An inverted index maps each pair of tokens to the positions where
 it stands; merges are taken in rank order and applied at all positions of their pairs, and only the neighbours of a merged pair
 enter the index anew. Where a merge brings up one of an earlier rank, the rest of that piece waits until that is done.
@@ -42,6 +42,10 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def let_go(self) -> None:
+        """Forget the pieces and pairs that were met; the tables of the file stay."""
+        self.pairs, self.young, self.old = {}, {}, {}
+
     def rank(self, pair: int) -> int:
         found = self.pairs.get(pair)
         if found is None:
@@ -196,8 +200,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, ids: bool = False)
     shared.prepare(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks, pattern)
+    def told(bpe: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
                 found, before = bpe.encode(data, off)
@@ -211,5 +214,13 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, ids: bool = False)
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    @shared.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(ranks, pattern)
+        try:
+            yield from told(bpe, batches)
+        finally:
+            bpe.let_go()
+
     schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
     return docs.select("doc_id", shared.text_bytes()).mapInArrow(run, schema)

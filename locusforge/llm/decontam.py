@@ -92,6 +92,7 @@ def _blocks(benchmark: DataFrame, n: int) -> list[str]:
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), shared.text_bytes()).distinct()
     size = rows.agg(F.sum(1 + F.octet_length("text") / 6)).first()[0] or 0
 
+    @shared.lean
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, held = [], 0
 
@@ -158,6 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
                 names.append("hits")
             yield pa.RecordBatch.from_arrays(cols, names)
 
+    @shared.lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:

@@ -80,6 +80,7 @@ def _sketch(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     shared.prepare(docs.sparkSession)
     salt = T.U(0xD6E8FEB86659FD93)
 
+    @shared.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
@@ -171,6 +172,7 @@ def _pairs(classes: DataFrame, hot: DataFrame, percent: int, groups: DataFrame |
     place = F.when(F.col("hot"), F.concat("label", F.unhex(F.lpad(F.hex("node"), 16, "0")))).otherwise(F.col("prefix"))  # only hot groups are cut between tasks
     ordered = rows.withColumn("place", place).repartitionByRange("tree", "place").sortWithinPartitions("tree", "label", "node").select("tree", "label", "node", "n_shingles", *more)
 
+    @shared.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # one range of narrow rows, sized by the shuffle
         if not table.num_rows:
@@ -251,6 +253,7 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     def texts(nodes: DataFrame) -> DataFrame:
         return _texts(docs, nodes).join(nodes, "node")
 
+    @shared.lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, off in shared.steps(batch, "text"):
@@ -262,6 +265,7 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     held = spark.sparkContext.broadcast((common, known["count"].to_numpy(np.int64)[order]))
     names = ["token", "component", "node", "n", "place"]
 
+    @shared.lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
@@ -272,6 +276,7 @@ def _rare_pairs(docs: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     rare = texts(dense).mapInArrow(make, "token long, component long, node long, n int, place int")
     together = rare.repartition("token").sortWithinPartitions("token", "component")
 
+    @shared.lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us: list[np.ndarray] = []
         vs: list[np.ndarray] = []
@@ -326,6 +331,7 @@ def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     routes = shared.materialize(homes.select(F.col("asks").alias("node"), "host", "asked").union(trips.select("node", "host", F.lit(None).cast("array<bigint>"))), "routes")
     texts = _texts(docs, routes)  # the join with routes below drops what the filter lets through
 
+    @shared.lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
@@ -334,6 +340,7 @@ def _confirmed(docs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     sent = texts.mapInArrow(make, "node long, shingles binary").join(routes, "node").select("host", F.col("asked").isNull().alias("travels"), "node", "asked", "shingles")
     together = sent.repartition("host").sortWithinPartitions("host", "travels")
 
+    @shared.lean
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         sought: dict[int, list[int]] = {}

@@ -133,6 +133,7 @@ def rule_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     keys = ["doc_id", *carry]
     fields = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
+    @shared.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, off in shared.steps(batch, "text"):
@@ -147,6 +148,7 @@ def _scored(counts: DataFrame, forest: IsolationForest, extra: tuple[str, ...] =
     keep = ["doc_id", *extra, *COUNTS]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(keep).schema)
 
+    @shared.lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features({k: b.column(k).to_numpy(zero_copy_only=False) for k in COUNTS})

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -106,3 +107,17 @@ def test_piece_encoder_equals_the_tokenizers_library():
         ids, before = encoder.encode(*lay(texts))
         for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
             assert ids[before[i] : before[i + 1]].tolist() == e.ids, texts[i][:60]
+
+
+def test_workers_keep_no_pieces_between_tasks(spark):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(odd_texts(n=200))], "doc_id long, text string").coalesce(1)
+    assert bpe.encode_decode(d, RANKS, public_tokenizers.PATTERN).where("n_tokens > 0").count()
+
+    def held(batches):
+        from locusforge.llm import bpe
+
+        for b in batches:
+            yield pa.record_batch([pa.array([sum(len(e.pairs) + len(e.young) + len(e.old) for e in bpe._LOADED.values())]), pa.array([len(bpe._LOADED)])], ["kept", "loaded"])
+
+    got = spark.range(64, numPartitions=8).mapInArrow(held, "kept long, loaded long").collect()
+    assert sum(r.loaded for r in got) and not sum(r.kept for r in got)

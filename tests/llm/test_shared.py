@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -65,3 +68,41 @@ def test_distinct_spans_by_keys_where_hashes_meet(monkeypatch):
         monkeypatch.setattr(T, "_folded", folded)
         first, which = T.distinct_spans(data, edge[:-1], edge[1:])
         assert [words[first[i]] for i in which] == words and len(first) == len(set(words))
+
+
+def test_arrow_batches_are_about_a_step(spark):
+    shared.prepare(spark)
+    rows = spark.range(4000, numPartitions=1).selectExpr("repeat('abcdefgh', 512) as text")  # 16 MB
+
+    def told(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "n"])
+
+    got = rows.mapInArrow(told, "size long, n long").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.size for r in got) <= shared.STEP_BYTES
+
+
+def test_workers_are_left_small():
+    code = """
+import gc, re, sys
+import pyarrow as pa
+from locusforge.llm import shared
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    kept = []
+    for b in batches:
+        kept += [bytearray(3000) for _ in range(40_000)]  # 120 MB in parts that aren't mapped by themselves
+        yield b
+        left.append(bytearray(3000))  # stays above them
+
+left = []
+batch = pa.record_batch([pa.array([1])], ["a"])
+before = held()
+assert [b.num_rows for b in shared.lean(run)(iter([batch]))] == [1] and run.__name__ == shared.lean(run).__name__
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120)
+    assert float(done.stdout) < 40
