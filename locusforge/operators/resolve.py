@@ -34,6 +34,8 @@ ALIASES = {
     "expected_count": ["expected_count", "B", "expected_nonref_count", "nonref_count"],
 }
 NUMBERS = ["base_pair_location", "beta", "standard_error", "z", "odds_ratio", "effect_allele_frequency", "p_value", "minus_log10_p", "sample_size", "info"]
+#: Types whose values need no text to become doubles: the same double comes back, and NaN is missing.
+EXACT_NUMBERS = ("tinyint", "smallint", "int", "bigint", "double")
 CORE = [*REQUIRED, "z", "effect_allele_frequency", "odds_ratio"]
 
 
@@ -62,13 +64,23 @@ def alias_hits(columns: list[str]) -> dict[str, list[str]]:
 
 
 def project(df: DataFrame, core_only: bool = False, keep_p: bool = True) -> DataFrame:
-    """Recognised columns alone, so that the source isn't parsed further; the first column if none is."""
+    """Recognised columns alone, so that the source isn't parsed further; the first column if none is.
+
+    An ordinal of the source stays: a new one would follow the order in which files are read, and with it the first copy of a variant.
+    """
     wanted = [*CORE, *(["p_value", "minus_log10_p"] if keep_p else [])] if core_only else list(ALIASES)
     hits = alias_hits(df.columns)
     picked = {c for t in wanted for c in hits.get(t, [])}
+    picked |= {"ordinal"} if [t for c, t in df.dtypes if c == "ordinal"] in (["bigint"], ["int"]) and picked else set()
     return df.select(*([f"`{c}`" for c in df.columns if c in picked] or [f"`{df.columns[0]}`"]))
 
 
+def as_number(c: Column) -> Column:
+    """What parse_number makes of a column of EXACT_NUMBERS."""
+    value = c.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def _differs(a: Column, b: Column) -> Column:
     """Neither equal as text, nor both missing, nor within 1e-12 of each other as numbers."""
     x, y = parse_number(a), parse_number(b)
@@ -118,8 +130,10 @@ def resolve(df: DataFrame, policy: str = "report", allow_p_to_se: bool = False,
     tests: dict[str, Column] = {name: F.col(f"_c{i}") for i, name in enumerate(conflicts)}
     has = set(out.columns)
     numbers = [c for c in NUMBERS if c in has]
-    failed = F.filter(F.array(*(F.when(failed_number(F.col(c)), F.lit(c)) for c in numbers)), lambda x: x.isNotNull()) if numbers else F.array().cast("array<string>")
-    out = out.withColumn("parse_failed", failed).withColumns({c: parse_number(F.col(c)) for c in numbers})
+    exact = {c for c, t in out.dtypes if t in EXACT_NUMBERS}
+    texts = [c for c in numbers if c not in exact]
+    failed = F.array_except(F.array(*(F.when(failed_number(F.col(c)), F.lit(c)) for c in texts)), F.array(F.lit(None).cast("string"))) if texts else F.array().cast("array<string>")
+    out = out.withColumn("parse_failed", failed).withColumns({c: as_number(F.col(c)) if c in exact else parse_number(F.col(c)) for c in numbers})
     if "base_pair_location" in has:
         at = F.col("base_pair_location")
         whole = finite(at) & (at == F.floor(at)) & (F.abs(at) <= 2147483647)

@@ -207,3 +207,14 @@ def test_compress_from_text_to_store(spark, tmp_path):
     trusted = api.compress(spark, fx.study(spark, 30), scratch.new_path(spark, "n"), qc_mode="none")
     assert api.validate(trusted)["n_rows"] == 30
     assert api.variant_key("chr23", 5, "a", "g") == "X:5:A:G"
+
+
+def test_compress_keeps_the_first_copy_by_the_ordinal_of_the_source(spark):
+    data = fx.rows(4)
+    late, early = list(data[0]), list(data[0])
+    late[0], early[0], early[7], early[14] = 9, 0, data[0][7] + 0.5, None
+    early[14] = early[7] / early[8]
+    source = fx.frame(spark, [late, *data[1:], early])  # the first copy lies last
+    made = api.compress(spark, source, scratch.new_path(spark, "copies"), profile="exact")
+    got = {r.base_pair_location: r.z for r in made.read(columns=["base_pair_location", "z"]).collect()}
+    assert len(got) == 4 and got[data[0][2]] == early[14]
