@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import builds, identity
 from ..operators import codec, harmonise, qc, resolve, rowid, select
-from ..sources import panel, reference, scratch, store
-from ..sources.files import listing
+from ..sources import blocks, panel, reference, scratch, store
 from . import oracle as O
 from . import view
 from .queries import _COLS, _numbered, _shown, _store, query, r
@@ -20,11 +19,11 @@ _ONE = "one AS (SELECT 1)"
 
 
 def _file(spark: SparkSession, rows: DataFrame, head: list[str], name: str, codec_name: str) -> str:
-    """Lines (ordinal, value) behind head lines, in one compressed file."""
-    top = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "ordinal long, value string")
-    path = scratch.new_path(spark, name)
-    top.union(rows.select("ordinal", "value")).coalesce(1).sortWithinPartitions("ordinal").select("value").write.option("compression", codec_name).text(path)
-    return f"{path}/{next(f for f, _ in listing(spark, path))}"
+    """Lines behind head lines, in one compressed file that many tasks write."""
+    kind = {"gzip": "gz", "bzip2": "bz2"}.get(codec_name, "none")
+    path = scratch.new_path(spark, f"{name}.txt" if kind == "none" else f"{name}.txt.{kind}")
+    blocks.write_lines(rows, head, path, kind)
+    return path
 
 
 def _text(*names: str, missing: str = "NA"):
@@ -303,7 +302,7 @@ def panel_bim(spark, sf_dir):
     rows = _panel_rows(spark, sf_dir)
     line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("chromosome")), F.concat(F.lit("rs"), F.col("ordinal").cast("string")), F.lit("0"), F.col("base_pair_location").cast("string"), "alternate_allele", "reference_allele")
     path = f"{scratch.new_path(spark, 'plink')}/panel.bim"
-    rows.select(line).coalesce(1).write.text(path)
+    blocks.write_lines(rows.select(line.alias("value")), [], path)
     return panel.read_any(spark, path).select("variant_code", "chromosome", "base_pair_location")
 
 
@@ -312,8 +311,8 @@ def panel_shards(spark, sf_dir):
     """One file a chromosome, of which only those asked for are read."""
     folder, rows = scratch.new_path(spark, "shards"), _panel_rows(spark, sf_dir)
     for c in ("1", "2", "7", "X"):
-        part = rows.where(F.col("chromosome") == c).select("chromosome", F.col("base_pair_location").alias("pos"), F.col("reference_allele").alias("ref"), F.col("alternate_allele").alias("alt"), F.col("hm3").cast("int").alias("hm3"))
-        part.coalesce(1).write.option("sep", "\t").option("header", "true").csv(f"{folder}/by_chrom/chr{c}.tsv")
+        line = F.concat_ws("\t", "chromosome", F.col("base_pair_location").cast("string"), "reference_allele", "alternate_allele", F.col("hm3").cast("int").cast("string"))
+        blocks.write_lines(rows.where(F.col("chromosome") == c).select(line.alias("value")), ["chromosome\tpos\tref\talt\thm3"], f"{folder}/by_chrom/chr{c}.tsv")
     return panel.read_any(spark, folder, chromosomes=["1", "7", "X"]).select("variant_code", "hm3")
 
 

@@ -7,7 +7,7 @@ import zstandard
 
 from locusforge import api
 from locusforge.operators import resolve
-from locusforge.sources import delimited
+from locusforge.sources import blocks, delimited
 from tests import fixtures as fx
 
 HEAD = ["CHR", "GENPOS", "REF", "ALT", "ALLELE1", "ALLELE0", "BETA", "SE", "A1FREQ"]
@@ -137,3 +137,30 @@ def test_headers_far_down_and_joined_files(spark, tmp_path):
     v = tmp_path / "far.vcf"
     v.write_text("##fileformat=VCFv4.2\n" + "".join(f"##x={i}\n" for i in range(20_000)) + "#CHROM\tPOS\tID\tREF\tALT\n1\t5\t.\tA\tG\n")
     assert delimited.read_vcf(spark, str(v)).count() == 1
+
+
+@pytest.mark.parametrize("end, unpack", [("gz", gzip.decompress), ("bz2", bz2.decompress), ("none", bytes)])
+def test_many_tasks_write_and_read_one_file(spark, tmp_path, monkeypatch, end, unpack):
+    monkeypatch.setattr(blocks, "RANGE", 1 << 17)
+    rows = spark.range(0, 20_000, 1, 3).selectExpr("concat(id, ' é ', sha2(string(id), 256)) value")
+    p = tmp_path / f"x.txt.{end}"
+    blocks.write_lines(rows, ["## a", "head"], str(p), end)
+    want = unpack(p.read_bytes()).decode().split("\n")
+    assert want[:2] == ["## a", "head"] and want[-1] == "" and sorted(want[2:-1]) == sorted(r.value for r in rows.collect())
+    got = delimited.lines(spark, str(p))
+    assert [r.value for r in got.orderBy("line_no").collect()] == want[:-1]
+    assert end != "gz" or got.rdd.getNumPartitions() > 4
+    if end == "gz":  # members that aren't blocks, and text without a last line's end
+        q = tmp_path / "mixed.gz"
+        q.write_bytes(p.read_bytes() + gzip.compress(b"more\r\nlast"))
+        assert sorted(r.value for r in delimited.lines(spark, str(q)).collect()) == sorted([*want[:-1], "more", "last"])
+
+
+def test_vcf_names_are_looked_up_and_clashes_raise(spark):
+    names = ["#CHROM", "POS", "REF", "ALT", "INFO", "FORMAT", "trait"]
+    read = lambda info, fmt, trait: delimited.vcf_fields(spark.createDataFrame([(1, "1", "5", "A", "G", info, fmt, trait)], "ordinal long, " + ", ".join(f"`{c}` string" for c in names)), names)
+    got = read("a_f=x=y;FLAG;FLAG;SE=3;SE=3;=7", "ES:LP:SE", "1:2").first()
+    assert (got.beta, got.standard_error, got.effect_allele_frequency, got.p_value) == ("1", "3", "x=y", "0.01")
+    for bad in (("AF=1;a_f=2", "SE", "1"), (".", "ES:es", "1:2")):
+        with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+            read(*bad).collect()
