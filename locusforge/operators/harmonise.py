@@ -37,9 +37,9 @@ def align(df: DataFrame, reference: DataFrame, strand: bool = True, palindromic:
     place = {"_c": F.coalesce(identity.normalize_chromosome(F.col("chromosome")), F.concat(F.lit("row "), F.col("ordinal").cast("string"))), "_at": F.coalesce(F.col("base_pair_location").cast("long"), -1 - F.col("ordinal"))}
     alleles = {"_e": effect, "_o": other, "_re": identity.reverse_complement(effect), "_ro": identity.reverse_complement(other)}
     good = F.coalesce(effect.rlike("^[ACGTN]+$") & other.rlike("^[ACGTN]+$"), F.lit(False))
-    asked = df.withColumns(place | alleles | {"_good": good})
+    asked = df.withColumns(place)
     gathered = reference.groupBy(F.col("chromosome").alias("_rc"), F.col("base_pair_location").cast("long").alias("_rat")).agg(F.collect_list(F.struct(F.col("reference_allele").alias("ref"), F.col("alternate_allele").alias("alt"), "ref_eaf", "rsids")).alias("_alleles"))
-    met = asked.join(gathered, (F.col("_c") == F.col("_rc")) & (F.col("_at") == F.col("_rat")), "left")
+    met = asked.join(gathered, (F.col("_c") == F.col("_rc")) & (F.col("_at") == F.col("_rat")), "left").withColumns(alleles | {"_good": good})  # made behind the join, which sorts less so
     pairs = [("_o", "_e"), ("_e", "_o"), ("_ro", "_re"), ("_re", "_ro")][: 4 if strand else 2]
 
     def hit(rank: int, ref: str, alt: str) -> Column:
