@@ -133,14 +133,11 @@ def ordered_regions(regions: DataFrame) -> DataFrame:
 
 def id_membership(df: DataFrame, panel: DataFrame, build: str = "GRCh38") -> DataFrame:
     """Rows whose id is in the panel and agrees with a valid identity, or whose own key is in it."""
-    ids = panel.select(identity.normalize_key(F.col("variant_id")).alias("pid")).where("pid <> ''").distinct()
+    ids = panel.select(identity.normalize_key(F.col("variant_id")).alias("_pid")).where("_pid <> ''").distinct()
     key = F.when(F.col("variant_code").isNotNull(), identity.variant_key(F.col("chromosome"), F.col("base_pair_location"), F.col("other_allele"), F.col("effect_allele")))
-    keyed = df.withColumn("_key", key).withColumn("_id", spread(identity.normalize_key(F.col("variant_id")))).withColumn("_at", spread(F.col("_key")))
-    ids = sized(ids)
-    by_id = keyed.join(ids.withColumn("_by_id", F.lit(True)), keyed["_id"] == ids["pid"], "left").drop("pid")
-    both = by_id.join(ids.withColumn("_by_key", F.lit(True)), by_id["_at"] == ids["pid"], "left").drop("pid")
-    agrees = F.col("_by_id").isNotNull() & (F.col("_key").isNull() | (F.col("_key") == F.col("_id")))
-    return both.where(agrees | F.col("_by_key").isNotNull()).drop("_key", "_at", "_id", "_by_id", "_by_key")
+    # an id that agrees with the key is the key, so that ids count only where there is none: one key a row
+    asked = df.withColumn("_key", F.coalesce(key, identity.normalize_key(F.col("variant_id"))))
+    return asked.join(sized(ids), F.col("_key") == F.col("_pid"), "left_semi").drop("_key")
 
 
 def legacy_membership(df: DataFrame, panel: DataFrame) -> DataFrame:
