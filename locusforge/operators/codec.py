@@ -90,10 +90,10 @@ def block_centres(df: DataFrame) -> DataFrame:
 def encode(df: DataFrame, p: Profile = NATIVE, row_id: str = "row_id") -> DataFrame:
     """Adds block_id, codes, se_centre, and exceptions as columns that are null for all but few rows.
 
-    Centres are one row a block; they join by block, broadcast by Spark's own measure of their size.
+    Centres are one row for VALUE_BLOCK rows, and so are broadcast; a join that Spark plans by the size of the rows would move all rows first.
     """
     coded = with_residual(with_blocks(tuned(df), row_id), p)
-    joined = coded.join(block_centres(coded), "block_id")
+    joined = coded.join(F.broadcast(block_centres(coded)), "block_id")
     delta = F.col("se_residual") - F.col("se_centre")
     if p.name == "legacy_clamp":
         code = F.least(F.lit(p.se_bins - 1), F.greatest(F.lit(0), F.floor((delta + 1) / 2 * p.se_bins - 0.5)))

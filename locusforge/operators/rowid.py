@@ -10,15 +10,25 @@ from ..sources import scratch
 VALUE_BLOCK = 65_536
 
 
-def with_row_id(df: DataFrame, order: list[str], name: str = "row_id", first: int = 0) -> DataFrame:
-    """Consecutive numbers in the order given, by ranges.
+def with_row_id(df: DataFrame, order: list[str], name: str = "row_id", first: int = 0, copies: str | None = None) -> DataFrame:
+    """Consecutive numbers in the order given, by ranges; with `copies` also a column of that name, 1 for the first of equal rows.
 
     Rows are dealt by range and sorted within; that order is written once, since ranges come from a sample and may differ
     when computed again. A second pass adds the rows of the ranges before, of which there is one number a range.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    stored = scratch.materialize(placed, "ordered")
+    if copies:  # equal rows lie in one range, so that this moves none
+        ranged = ranged.withColumn(copies, F.row_number().over(Window.partitionBy(*order).orderBy(*order)))
+    return numbered(scratch.materialize(placed(ranged), "ordered"), name, first)
+
+
+def placed(ranged: DataFrame) -> DataFrame:
+    """Adds to rows that are dealt by range and sorted within what `numbered` needs, once they are written: the range and the place in it."""
+    return ranged.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+
+
+def numbered(stored: DataFrame, name: str = "row_id", first: int = 0) -> DataFrame:
+    """Numbers of rows that were written with their places."""
     sizes = sorted((r["_range"], r["n"]) for r in stored.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row a range
     before, starts = first, []
     for part, n in sizes:
@@ -28,11 +38,11 @@ def with_row_id(df: DataFrame, order: list[str], name: str = "row_id", first: in
         return stored.withColumn(name, F.lit(None).cast("long")).drop("_range", "_at")
     place = F.create_map(*(F.lit(x) for s in starts for x in s)) if len(starts) <= 64 else None
     if place is not None:
-        numbered = stored.withColumn(name, F.element_at(place, F.col("_range")).cast("long") + F.col("_at"))
+        out = stored.withColumn(name, F.element_at(place, F.col("_range")).cast("long") + F.col("_at"))
     else:
-        base = df.sparkSession.createDataFrame(starts, "_range int, _base long")
-        numbered = stored.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_at")).drop("_base")
-    return numbered.drop("_range", "_at")
+        base = stored.sparkSession.createDataFrame(starts, "_range int, _base long")
+        out = stored.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_at")).drop("_base")
+    return out.drop("_range", "_at")
 
 
 def with_blocks(df: DataFrame, row_id: str = "row_id", size: int = VALUE_BLOCK) -> DataFrame:
@@ -61,6 +71,6 @@ def falling_positions(df: DataFrame, position: str = "global_position", row_id:
     rows = df.select(F.col(row_id).alias("row_id"), F.col(position).alias("at"), number)
     before = F.lag("at").over(Window.partitionBy("_block").orderBy("row_id"))
     inside = rows.withColumn("_before", before).where(F.col("at") < F.col("_before")).select("row_id", "at")
-    ends = rows.groupBy("_block").agg(F.min(F.struct("row_id", "at")).alias("first"), F.max(F.struct("row_id", "at")).alias("last"))
-    edge = ends.select("_block", "first").join(ends.select((F.col("_block") + 1).alias("_block"), "last"), "_block").where(F.col("first.at") < F.col("last.at"))
-    return inside.union(edge.select("first.row_id", "first.at"))
+    ends = rows.groupBy("_block").agg(F.min("row_id").alias("row_id"), F.min_by("at", "row_id").alias("first"), F.max_by("at", "row_id").alias("last"))
+    edge = ends.select("_block", "row_id", "first").join(ends.select((F.col("_block") + 1).alias("_block"), "last"), "_block").where(F.col("first") < F.col("last"))
+    return inside.union(edge.select("row_id", "first"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import builds, identity, stats
 from ..operators import codec, harmonise, qc, select
-from ..operators.rowid import position_gaps, positions_from_gaps, with_row_id
-from ..sources import scratch, store
+from ..operators.rowid import position_gaps, positions_from_gaps
+from ..sources import blocks, scratch, store
 from . import oracle as O
 from . import view
 
@@ -249,7 +249,7 @@ def id_membership(spark, sf_dir):
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view._made(spark, sf_dir, "numbered", lambda: with_row_id(select.resolve_p(view.prepared(spark, sf_dir)), ["variant_code"]))
+    return select.resolve_p(view.numbered(spark, sf_dir))
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,13 +433,11 @@ def q8_cache_read(spark, sf_dir):
 def ingest_tsv_gz(spark, sf_dir):
     from ..api import import_sumstats
 
-    path = scratch.new_path(spark, "tsv")
-    k = view.prepared(spark, sf_dir)
-    k.coalesce(1).select(F.col("chromosome").alias("CHR"), F.col("base_pair_location").alias("GENPOS"), F.col("reference_allele").alias("REF"), F.col("alternate_allele").alias("ALT"), F.col("effect_allele").alias("ALLELE1"), F.col("other_allele").alias("ALLELE0"), F.col("beta").alias("BETA"), F.col("standard_error").alias("SE"), F.col("effect_allele_frequency").alias("A1FREQ")).write.option("sep", "\t").option("header", "true").option("compression", "gzip").csv(path)
-    from ..sources.files import listing
-
-    name = next(f for f, _ in listing(spark, path) if f.endswith(".gz"))
-    data = import_sumstats(spark, f"{path}/{name}").data
+    names = {"CHR": "chromosome", "GENPOS": "base_pair_location", "REF": "reference_allele", "ALT": "alternate_allele", "ALLELE1": "effect_allele", "ALLELE0": "other_allele", "BETA": "beta", "SE": "standard_error", "A1FREQ": "effect_allele_frequency"}
+    path = scratch.new_path(spark, "study.tsv.gz")
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names.values()))
+    blocks.write_lines(view.prepared(spark, sf_dir).select(line.alias("value")), ["\t".join(names)], path, "gz")
+    data = import_sumstats(spark, path).data
     return _shown(data.select("chromosome", F.col("base_pair_location").cast("bigint").alias("base_pair_location"), "reference_allele", "alternate_allele", "beta", "standard_error", "z"), 9)
 
 

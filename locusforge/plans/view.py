@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite
-from ..operators import qc
-from ..operators.rowid import with_row_id
+from ..operators import qc, rowid
 from ..sources import files, scratch
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -66,7 +65,7 @@ def study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw study; ordinals are dealt by range, not by a sort in one task."""
 
     def build() -> DataFrame:
-        items = with_row_id(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER), ORDER, "_n", first=1)
+        items = rowid.with_row_id(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*ORDER), ORDER, "_n", first=1)
         item = _ITEM.format(ordinal="_n", source="{items}")
         return spark.sql(f"WITH l AS ({item}),{_BODY} SELECT * FROM g", items=items)
 
@@ -85,7 +84,23 @@ def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted rows in canonical form."""
-    return _made(spark, sf_dir, "prepared", lambda: qc.canonicalize(checked(spark, sf_dir).where("kept").drop("reasons", "kept")))
+    return _placed(spark, sf_dir).drop("_range", "_at")
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows with their row_id."""
+    return rowid.numbered(_placed(spark, sf_dir))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows, dealt by their codes once: copies meet there, and the order is that of row ids."""
+
+    def build() -> DataFrame:
+        dealt = qc.group_key(study(spark, sf_dir)).repartitionByRange("_group")
+        kept = qc.canonicalize(qc.with_reasons(with_z(dealt)).where("kept").drop("reasons", "kept"))
+        return rowid.placed(kept.sortWithinPartitions("variant_code"))
+
+    return _made(spark, sf_dir, "prepared", build)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
