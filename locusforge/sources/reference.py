@@ -54,7 +54,7 @@ def write_reference(df: DataFrame, path: str, build: str = "GRCh38", snv_only: b
     order = F.array_position(F.array(*map(F.lit, builds.CHROMOSOMES)), F.col("chromosome")).cast("int")
     known = harmonise.canonical_reference(df, snv_only).withColumn("_order", order).where("_order > 0")
     numbered = with_row_id(known, ["_order", "base_pair_location", "reference_allele", "alternate_allele"], "idx").drop("_order").select(*COLUMNS)
-    numbered.repartitionByRange("idx").sortWithinPartitions("chromosome", "idx").write.option("compression", "zstd").partitionBy("chromosome").parquet(f"{staged}/values")
+    numbered.sortWithinPartitions("chromosome", "idx").write.option("compression", "zstd").partitionBy("chromosome").parquet(f"{staged}/values")
     names = numbered.select(F.explode(F.split("rsids", ";")).alias("rsid"), "chromosome", "idx").where("rsid <> ''").withColumn("rsid", F.lower("rsid"))
     names.repartitionByRange("rsid").sortWithinPartitions("rsid").write.option("compression", "zstd").parquet(f"{staged}/rsids")
     n = numbered.count()

@@ -8,13 +8,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import builds, identity
 from ..functions.observe import Observer
 from ..operators import codec, select
-from ..operators.rowid import with_row_id
+from ..operators.rowid import VALUE_BLOCK, with_row_id
 from . import files
 from .files import StoreError
 
@@ -122,7 +122,10 @@ class Store:
         if full:
             files.check_payload(self.spark, self.path, self.manifest)
         table = self.table()
-        total = table.agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"), F.count_distinct("variant_code").alias("codes")).first()
+        if full:
+            total = self._followed(table)
+        else:
+            total = table.agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count_distinct("row_id").alias("ids"), F.count_distinct("variant_code").alias("codes")).first()
         n = total.n
         if n != self.manifest["n_rows"] or total.ids != n or total.codes != n or (n and (total.low, total.high) != (0, n - 1)):
             raise StoreError("rows are missing or repeat")
@@ -136,6 +139,19 @@ class Store:
         blocks = spans.agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).first()
         return {"valid": True, "n_rows": n, "first_row": total.low, "last_row": total.high, "n_blocks": blocks.n, "first_variant": blocks.a, "last_variant": blocks.z}
 
+    @staticmethod
+    def _followed(table: DataFrame):
+        """Counts of rows, of those that follow the row before in their block by one (ids), and by a greater code (codes).
+
+        Where all do, and blocks don't overlap, neither ids nor codes repeat; a task sorts blocks of VALUE_BLOCK rows and keeps no set of all values.
+        """
+        w = Window.partitionBy("block_id").orderBy("row_id")
+        rows = table.select("block_id", "row_id", "variant_code").withColumns({"_row": F.lag("row_id").over(w), "_code": F.lag("variant_code").over(w)})
+        own = F.floor(F.col("row_id") / VALUE_BLOCK) == F.col("block_id")
+        follows, greater = own & (F.coalesce("_row", F.col("row_id") - 1) == F.col("row_id") - 1), F.coalesce("_code", F.col("variant_code") - 1) < F.col("variant_code")
+        n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+        return rows.agg(F.count("*").alias("n"), F.min("row_id").alias("low"), F.max("row_id").alias("high"), n(follows).alias("ids"), n(greater).alias("codes")).first()
+
     def regions(self) -> DataFrame:
         """The windows that selection kept rows by: chromosome, start, end, seed_snps."""
         if not self.manifest["selection"].get("regions"):
@@ -154,8 +170,8 @@ class Store:
 
 
 def _write(df: DataFrame, path: str) -> None:
-    """Ranges of the genome, sorted within, by chromosome: scans prune partitions and row groups."""
-    df.repartitionByRange("variant_code").sortWithinPartitions("chromosome", "variant_code").write.option("compression", "zstd").partitionBy("chromosome").parquet(path)
+    """Rows that lie by ranges of the genome, as numbered ones do, sorted by chromosome where they lie: scans prune partitions and pages."""
+    df.sortWithinPartitions("chromosome", "variant_code").write.option("compression", "zstd").partitionBy("chromosome").parquet(path)
 
 
 def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str = "z9_eaf8_se6", flag_threshold: float | None = 5e-8, extras: tuple[str, ...] = (), selection: str = "full", panel: DataFrame | None = None, select_threshold: float = 1e-5, padding: int = 10_000, overwrite: bool = False, meta: dict | None = None, observer: Observer | None = None) -> Store:
@@ -171,9 +187,10 @@ def write_store(df: DataFrame, path: str, *, build: str = "GRCh38", profile: str
         flag = codec.pvalue_flag(flag_threshold) if flag_threshold is not None else F.lit(None).cast("boolean")
         ready = resolved.withColumn("pvalue_flag", flag)
         keep = ["chromosome", "base_pair_location", "global_position", "substitution", "variant_code", "z", "standard_error", "effect_allele_frequency", "pvalue_flag", *extras]
-        numbered = with_row_id(ready.select(*keep), ["variant_code"])
-        if numbered.groupBy("variant_code").count().where("count > 1").limit(1).count():
+        numbered = with_row_id(ready.select(*keep), ["variant_code"], copies="_copy")
+        if numbered.where("_copy > 1").limit(1).count():
             raise StoreError("a variant occurs more than once")
+        numbered = numbered.drop("_copy")
         found["rows"] = n = numbered.count()
     if not n:
         raise StoreError("no rows are left to store")

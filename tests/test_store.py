@@ -218,3 +218,39 @@ def test_compress_keeps_the_first_copy_by_the_ordinal_of_the_source(spark):
     made = api.compress(spark, source, scratch.new_path(spark, "copies"), profile="exact")
     got = {r.base_pair_location: r.z for r in made.read(columns=["base_pair_location", "z"]).collect()}
     assert len(got) == 4 and got[data[0][2]] == early[14]
+
+
+def test_full_validation_keeps_no_set_of_values(spark, tmp_path):
+    made = store.write_store(qc.canonicalize(fx.study(spark, 50)), f"{tmp_path}/s")
+    table = made.table()
+    assert tuple(made._followed(table)) == (50, 0, 49, 50, 50)
+    assert made._followed(table.union(table.where("row_id = 7"))).ids == 50 and made._followed(table.union(table.where("row_id = 7"))).n == 51
+    assert made._followed(table.where("row_id <> 7")).ids == 48
+    swapped = table.withColumn("variant_code", F.when(F.col("row_id") == 7, 0).otherwise(F.col("variant_code")))
+    assert made._followed(swapped).codes == 49
+
+
+def test_rows_are_moved_once(spark, sf_dir):
+    from locusforge.plans import view
+    from locusforge.plans.queries import _encoded, _numbered
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(_numbered(spark, sf_dir)).replace("BroadcastExchange", "")
+    assert "SortMergeJoin" not in plan(_encoded(spark, sf_dir)) and "BroadcastHashJoin" in plan(_encoded(spark, sf_dir))
+    rows = fx.study(spark, 40)
+    from locusforge.operators import select
+
+    found = select.id_membership(qc.canonicalize(rows), rows.where("ordinal < 5").select("variant_id"))
+    assert plan(found).count("Join ") == 1 and {r.ordinal for r in found.collect()} >= {1, 2, 3, 4}
+    checked = plan(qc.with_reasons(view.with_z(view.study(spark, sf_dir))))
+    assert checked.count("Sort [") == 1
+
+
+def test_the_report_takes_one_pass(spark, sf_dir):
+    from locusforge.plans import view
+
+    checked = view.checked(spark, sf_dir)
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    found = qc.report(checked)
+    assert found.input_rows == 6059 and found.rejected_rows == 315 and found.rejections["duplicate_variant"] == 116
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before <= 4
